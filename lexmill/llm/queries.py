@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, media
+from . import exact_dedup, language_id, media, packing
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
+    "op3_language_id": language_id.op3_language_id,
     "op4_media": media.op4_media,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
