@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A group is hot if it holds more than 1/HOT_PARTS of all rows, so there are fewer than HOT_PARTS hot groups.
@@ -61,3 +61,19 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -
     return rows.join(F.broadcast(hot), key).unionByName(
         rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key)
     )
+
+
+def text_hash() -> Column:
+    """With doc_id it tells rows of a table apart, but for rows that repeat."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def keep_rows(docs: DataFrame, keepers: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that keepers (keep_id, keep_hash, keep_rows) name; one of those that repeat.
+
+    The join's key tells rows apart, so a group of copies brings one row to it and not all of them.
+    """
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("bigint").alias("id"), text_hash().alias("hash"))
+    rows = rows.join(keepers, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash")))
+    again = rows.filter("keep_rows > 1").groupBy("id", "hash").agg(F.first("row").alias("row"))
+    return rows.filter("keep_rows = 1").select("row").unionByName(again.select("row")).select("row.*")

@@ -17,7 +17,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, lookup, scratch_path, shuffle_partitions
+from .common import checkpoint, documents, keep_rows, lookup, scratch_path, shuffle_partitions, text_hash
 
 #: The white space that normalisation deletes.
 SPACES = " \t\n\x0b\x0c\r"
@@ -32,7 +32,7 @@ def keys(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("bigint"),
         F.length(text).alias("n_points"),
-        F.xxhash64(text).alias("text_hash"),
+        text_hash().alias("text_hash"),
         F.unhex(F.sha2(F.translate(text, SPACES, "").cast("binary"), 256)).alias("digest"),
     )
 
@@ -94,13 +94,7 @@ class DigestIndex:
         batch = checkpoint(keys(docs))
         groups, _ = self.ingest(batch)
         kept = self.read().hint("merge").join(groups.hint("merge"), "digest")
-        stay = kept.select("keep_id", "keep_hash", "keep_rows")
-        text = F.coalesce(docs["text"], F.lit(""))
-        rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("bigint").alias("id"), F.xxhash64(text).alias("hash"))
-        rows = rows.join(stay, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash")))
-        single = rows.filter("keep_rows = 1").select("row")
-        again = rows.filter("keep_rows > 1").groupBy("id", "hash").agg(F.first("row").alias("row")).select("row")
-        return single.unionByName(again).select("row.*")
+        return keep_rows(docs, kept.select("keep_id", "keep_hash", "keep_rows"))
 
 
 def open_index(spark: SparkSession, path: str | None = None, buckets: int | None = None) -> DigestIndex:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, media, packing
+from . import exact_dedup, language_id, media, near_dedup, packing
 
 QUERIES = {
+    "op1_simhash": near_dedup.op1_simhash,
     "op2_packing": packing.op2_packing,
     "op3_language_id": language_id.op3_language_id,
     "op4_media": media.op4_media,
