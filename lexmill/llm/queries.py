@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, media, near_dedup, packing
+from . import bpe, exact_dedup, language_id, media, near_dedup, packing
 
 QUERIES = {
     "op1_simhash": near_dedup.op1_simhash,
     "op2_packing": packing.op2_packing,
     "op3_language_id": language_id.op3_language_id,
     "op4_media": media.op4_media,
+    "op6_bpe": bpe.op6_bpe,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op6_bpe": bpe.op6_bpe,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }
