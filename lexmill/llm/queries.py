@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, media, near_dedup, packing
+from . import bpe, exact_dedup, language_id, media, near_dedup, packing, substring_dedup
 
 QUERIES = {
     "op1_simhash": near_dedup.op1_simhash,
@@ -10,10 +10,12 @@ QUERIES = {
     "op3_language_id": language_id.op3_language_id,
     "op4_media": media.op4_media,
     "op6_bpe": bpe.op6_bpe,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op6_bpe": bpe.op6_bpe,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }
