@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexmill.functions.binding import let
+
 L = F.lit
 #: Word characters, umlauts included.
 W = "[0-9A-Za-zÄÖÜäöüß_]"
@@ -14,16 +16,24 @@ W = "[0-9A-Za-zÄÖÜäöüß_]"
 
 def replace_matches(text: Column, pattern: str, render: Callable[[Column, Column], Column]) -> Column:
     """text with every match replaced by render(match, the literal text before it)."""
-    literals = F.split(text, pattern)
-    matches = F.regexp_extract_all(text, L(pattern), L(0))
-    rendered = F.zip_with(literals, matches, lambda before, m: F.concat(before, F.coalesce(F.when(m.isNotNull(), render(m, before)), L(""))))
-    return F.array_join(rendered, "")
+
+    def interleaved(bound: Column) -> Column:
+        literals = F.split(bound, pattern)
+        matches = F.regexp_extract_all(bound, L(pattern), L(0))
+        rendered = F.zip_with(literals, matches, lambda before, m: F.concat(before, F.when(m.isNull(), "").otherwise(render(m, before))))
+        return F.array_join(rendered, "")
+
+    return let(text, interleaved)
 
 
 def _each(start: Column, end: Column, before: str, after: str) -> Column:
     """before + i + after for all i from start to end, none if the range is empty."""
-    values = F.when(start <= end, F.sequence(start, end)).otherwise(F.array().cast("array<bigint>"))
-    return F.array_join(F.transform(values, lambda i: F.concat(L(before), i.cast("string"), L(after))), ", ")
+
+    def listed(ends: Column) -> Column:
+        values = F.when(ends["a"] <= ends["b"], F.sequence(ends["a"], ends["b"])).otherwise(F.array().cast("array<bigint>"))
+        return F.array_join(F.transform(values, lambda i: F.concat(L(before), i.cast("string"), L(after))), ", ")
+
+    return let(F.struct(start.alias("a"), end.alias("b")), listed)
 
 
 def tag_signs(text: Column) -> Column:
@@ -115,8 +125,27 @@ def reset_pairs(text: Column, parent: str, child: str) -> Column:
 
 def standalone(text: Column, parent: str, child: str) -> Column:
     """Parents without surviving children, in order, repeats included."""
-    linked = F.transform(reset_pairs(text, parent, child), lambda p: p["parent"])
-    return F.filter(tag_values(text, parent), lambda p: ~F.array_contains(linked, p))
+    return let(text, lambda x: without_children(tag_values(x, parent), reset_pairs(x, parent, child)))
+
+
+def without_children(parents: Column, pairs: Column) -> Column:
+    linked = F.transform(pairs, lambda p: p["parent"])
+    return let(linked, lambda known: F.filter(parents, lambda p: ~F.array_contains(known, p)))
+
+
+def tag_report(text: Column) -> Column:
+    """All that a tagged text names: signs, (paragraph, sentence) and (table, section) pairs, and those that stand alone."""
+
+    def of(x: Column) -> Column:
+        def with_pairs(found: Column) -> Column:
+            return F.struct(
+                tag_values(x, "sign").alias("signs"), found["sentences"].alias("sentence_pairs"), found["sections"].alias("section_pairs"),
+                without_children(tag_values(x, "par"), found["sentences"]).alias("paragraphs"), without_children(tag_values(x, "tab"), found["sections"]).alias("tables"),
+            )
+
+        return let(F.struct(reset_pairs(x, "par", "sen").alias("sentences"), reset_pairs(x, "tab", "sec").alias("sections")), with_pairs)
+
+    return let(text, of)
 
 
 def substitute(text: Column, kind: str, labels: Column, bare: bool = False) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lexmill.functions import text as X
+from lexmill.functions.binding import let
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -130,13 +131,14 @@ def cluster_separation(vectors: DataFrame) -> DataFrame:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return let(tokens, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(none))
 
 
 def ngram_diversity(texts: DataFrame, column: str, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """n, total, distinct and their ratio of n-grams within each text."""
-    tokens = X.words(F.lower(column))
-    rows = texts.select(F.explode(F.concat(*[F.transform(ngrams(tokens, n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in sizes])).alias("x"))
+    tagged = lambda t, n: F.transform(ngrams(t, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+    rows = texts.select(F.explode(let(X.words(F.lower(column)), lambda t: F.concat(*[tagged(t, n) for n in sizes]))).alias("x"))
     grams = rows.groupBy("x.n", "x.gram").agg(F.count("*").alias("c"))
     return grams.groupBy("n").agg(F.sum("c").alias("total"), F.count("*").alias("distinct_ngrams"), F.round(F.count("*") / F.sum("c"), 9).alias("diversity"))
 
@@ -144,8 +146,9 @@ def ngram_diversity(texts: DataFrame, column: str, sizes: tuple[int, ...] = (1,
 def bleu(pairs: DataFrame, key: str, reference: str, candidate: str, size: int = 4) -> DataFrame:
     """BLEU of each pair: clipped n-gram precision, smoothed by adding 1 beyond single words, and the brevity penalty."""
     both = pairs.select(key, X.words(F.lower(reference)).alias("r"), X.words(F.lower(candidate)).alias("c"))
+    tagged = lambda t, n: F.transform(ngrams(t, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
     counted = lambda side: both.select(
-        key, F.explode(F.concat(*[F.transform(ngrams(F.col(side), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in range(1, size + 1)])).alias("x")
+        key, F.explode(let(F.col(side), lambda t: F.concat(*[tagged(t, n) for n in range(1, size + 1)]))).alias("x")
     ).groupBy(key, "x.n", "x.gram").agg(F.count("*").alias(f"in_{side}"))
     met = counted("c").join(counted("r"), [key, "n", "gram"], "left")
     hits = met.groupBy(key, "n").agg(F.sum(F.least("in_c", F.coalesce("in_r", F.lit(0)))).alias("hit"), F.sum("in_c").alias("all"))

@@ -58,10 +58,12 @@ def _tagged():
     """SELECT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) AS signs, CASE WHEN l_suppkey = 5 THEN '' ELSE '§ ' || l_suppkey END AS standalone, '§ 5>' || l_linenumber AS sentence_pairs, '1>2' AS section_pairs, '3' AS standalone_tables FROM lineitem""",
 )
 def _(t):
-    pairs = lambda a, b: F.array_join(F.transform(C.reset_pairs(_tagged(), a, b), lambda p: F.concat_ws(">", p["parent"], p["child"])), "|")
-    return t.lineitem.select(
-        "l_orderkey", "l_linenumber", F.array_join(C.tag_values(_tagged(), "sign"), ",").alias("signs"), F.array_join(C.standalone(_tagged(), "par", "sen"), ",").alias("standalone"),
-        pairs("par", "sen").alias("sentence_pairs"), pairs("tab", "sec").alias("section_pairs"), F.array_join(C.standalone(_tagged(), "tab", "sec"), ",").alias("standalone_tables"),
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", C.tag_report(_tagged()).alias("r"))
+    pairs = lambda c: F.array_join(F.transform(c, lambda p: F.concat_ws(">", p["parent"], p["child"])), "|")
+    joined = lambda c: F.array_join(c, ",")
+    return rows.select(
+        "l_orderkey", "l_linenumber", joined("r.signs").alias("signs"), joined("r.paragraphs").alias("standalone"), pairs("r.sentence_pairs").alias("sentence_pairs"),
+        pairs("r.section_pairs").alias("section_pairs"), joined("r.tables").alias("standalone_tables"),
     )
 
 
