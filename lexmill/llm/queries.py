@@ -17,11 +17,8 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
 }
 
+#: DuckDB SQL; the others have tokens, fingerprints, models or codecs that SQL can't express, and tests against brute force.
 ORACLE_SQL = {
-    "op5_token_counts": token_counts.op5_token_counts,
-    "op6_bpe": bpe.op6_bpe,
-    "op7_secret_scan": secret_scan.op7_secret_scan,
-    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
 }
