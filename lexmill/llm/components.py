@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, lookup
+
+
+def _with_least(rows: DataFrame, name: str) -> DataFrame:
+    """rows (a, b) with the least b of each a. A node that many rows have is looked up in a bounded broadcast, not dealt to one task."""
+    least = checkpoint(rows.groupBy("a").agg(F.min("b").alias(name), F.count("*").alias("n")))
+    return lookup(rows, least, "a", "n", least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both, "m").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b")))
+    down = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    moved = _with_least(down, "m")
+    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(moved.select("a", F.col("m").alias("b")))
 
 
 def components(edges: DataFrame) -> DataFrame:
