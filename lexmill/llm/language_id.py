@@ -116,17 +116,15 @@ def fit(docs: DataFrame) -> Model:
     """Learn from a bounded sample of the rows that are not held out."""
     rank = F.xxhash64(F.col("doc_id").cast("string"))
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    # Hashes are even over 64 bits, so this share of them holds about twice the rows that are wanted, whatever the table's size.
+    share = F.least(F.lit(1.0), F.lit(2.0 * PER_LANGUAGE) / F.col("n"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = sizes.select("lang", (share * 2.0**64 - 2.0**63).alias("below"))
+    near = known.select("lang", rank.alias("rank")).join(F.broadcast(sizes), "lang").filter(F.col("rank") <= F.col("below"))
     top = Window.partitionBy("lang").orderBy("rank")
-    last = (
-        known.select("lang", rank.alias("rank"))
-        .withColumn("n", F.row_number().over(top))
-        .filter(F.col("n") <= PER_LANGUAGE)
-        .groupBy("lang")
-        .agg(F.max("rank").alias("last"), F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "lang")
-        .limit(LANGUAGES)
-    )
-    sample = known.filter(F.col("text").isNotNull()).select("lang", "text", "doc_id", rank.alias("rank")).join(F.broadcast(last), "lang").filter("rank <= last")
+    last = near.withColumn("n", F.row_number().over(top)).filter(F.col("n") <= PER_LANGUAGE).groupBy("lang").agg(F.max("rank").alias("last"))
+    sample = known.filter(F.col("text").isNotNull()).select("lang", "text", rank.alias("rank")).join(F.broadcast(last), "lang").filter("rank <= last")
+    sample = sample.limit(PER_LANGUAGE * LANGUAGES)  # more only where a doc_id repeats without end
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
