@@ -39,6 +39,22 @@ def labelled_triples(edges: DataFrame, nodes: DataFrame, drop_label: str | None
     return rows if drop_label is None else rows.filter((F.col("h") != drop_label) & (F.col("t") != drop_label))
 
 
+def substituted(texts: DataFrame, key: list[str], column: str, kind: str, nodes: DataFrame, bare: bool = False) -> DataFrame:
+    """texts with each <kind>id</kind> whose id is a node replaced by its label, inside the tags or (bare) without them.
+
+    Ids meet labels in a join, so the node table may have any size. Keys must tell rows apart; rows without tags stay as they are.
+    """
+    pattern = rf"<{kind}>(.*?)</{kind}>"
+    pieces = F.arrays_zip(F.split(column, pattern).alias("before"), F.regexp_extract_all(column, F.lit(pattern), F.lit(1)).alias("id"))
+    rows = texts.select(*key, F.posexplode(pieces).alias("place", "p")).select(*key, "place", "p.before", "p.id")
+    rows = rows.join(nodes.select("id", "label"), "id", "left")
+    inside = F.coalesce("label", "id")
+    tagged = F.concat(F.lit(f"<{kind}>"), inside, F.lit(f"</{kind}>"))
+    shown = F.when(F.col("id").isNull(), "").when(F.col("label").isNotNull() & F.lit(bare), F.col("label")).otherwise(tagged)
+    listed = F.array_sort(F.collect_list(F.struct("place", F.concat("before", shown).alias("t"))))
+    return rows.groupBy(*key).agg(F.array_join(F.transform(listed, lambda e: e["t"]), "").alias(column))
+
+
 def parent_labels(sentences: DataFrame, parents: DataFrame) -> DataFrame:
     """The clustering set: each sentence's text with its parent's label, those without parent dropped."""
     return sentences.join(parents.select(F.col("id").alias("parent"), F.col("label").alias("parent_label")), "parent", "left").filter("parent_label IS NOT NULL").select("text", F.col("parent_label").alias("label"))

@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from lexmill.functions import text as X
 from lexmill.functions.binding import let
+from lexmill.operators.order import bounded_broadcast
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -119,10 +120,10 @@ def cluster_separation(vectors: DataFrame) -> DataFrame:
     flat = vectors.select("id", "label", F.posexplode("v").alias("dim", "x"))
     centres = flat.groupBy("label", "dim").agg(F.avg("x").alias("c"))
     packed = centres.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "c"))), lambda s: s["c"]).alias("centre"))
-    # A row for each label: the only side that is crossed, and it has a row for each label.
+    # The only side that is crossed has a row for each label.
     gap = F.sqrt(F.aggregate(F.zip_with("v", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     labels = packed.select(F.col("label").alias("other"), "centre")
-    distances = vectors.crossJoin(F.broadcast(labels)).select("id", "label", "other", gap.alias("d"))
+    distances = vectors.crossJoin(bounded_broadcast(labels)).select("id", "label", "other", gap.alias("d"))
     each = distances.groupBy("id", "label").agg(F.max(F.when(F.col("label") == F.col("other"), F.col("d"))).alias("own"), F.min(F.when(F.col("label") != F.col("other"), F.col("d"))).alias("near"))
     score = F.try_divide(F.col("near") - F.col("own"), F.greatest("near", "own"))
     return each.groupBy("label").agg(

@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows up to which a table is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows; beyond that the join is left to the optimizer."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def global_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with a gapless number from 0 in this order.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.order import bounded_broadcast, global_index
+
 
 def draw(seed: int | str, *keys: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]).cast("binary"))
@@ -12,8 +14,6 @@ def draw(seed: int | str, *keys: Column) -> Column:
 
 def numbered(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
     """df with 0, 1, 2, … in this order, from a range-partitioned sort and the sizes of its partitions; no single task sorts all rows."""
-    from lexmill.operators.order import global_index
-
     return global_index(df, order, name)
 
 
@@ -54,10 +54,11 @@ def stratified(df: DataFrame, strata: list[str], size: int, seed: int, key: str)
 
 def balanced(df: DataFrame, label: str, order: str) -> DataFrame:
     """The first n rows of each label in order, n being the size of the smallest; nothing is kept beyond it, whatever the log says."""
-    counts = df.groupBy(label).count()
-    least = counts.agg(F.min("count").alias("_least"))
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(label).orderBy(order)))
-    return ranked.crossJoin(F.broadcast(least)).filter("_rn <= _least").drop("_rn", "_least")
+    placed = global_index(df, [F.col(label), F.col(order)], "_place")
+    sizes = placed.groupBy(label).agg(F.min("_place").alias("_first"), F.count("*").alias("_size"))
+    least = sizes.agg(F.min("_size").alias("_least"))
+    inside = placed.join(bounded_broadcast(sizes), label).crossJoin(F.broadcast(least))
+    return inside.filter(F.col("_place") - F.col("_first") < F.col("_least")).select(*df.columns)
 
 
 def hash_pick(rows: DataFrame, candidates: DataFrame, row_key: str, candidate_key: str, differs: Column, seed: int) -> DataFrame:

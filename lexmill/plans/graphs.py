@@ -111,11 +111,12 @@ def _(t):
 
 @query("j04_substitute_labels", "SELECT l_orderkey, l_linenumber, 'siehe <par>' || n_name || '</par>, <sen>3</sen>' AS text FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey")
 def _(t):
-    # The label library has a row for each nation; a lookup beyond that goes by join.
-    labels = t.nation.agg(F.map_from_entries(F.collect_list(F.struct(F.concat(L("§ "), _s("n_nationkey")), "n_name"))).alias("labels"))
-    rows = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).crossJoin(F.broadcast(labels))
+    rows = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     text = F.concat(L("siehe <par>§ "), _s("s_nationkey"), L("</par>, <sen>3</sen>"))
-    return rows.select("l_orderkey", "l_linenumber", C.substitute(text, "par", F.col("labels")).alias("text"))
+    labels = t.nation.select(F.concat(L("§ "), _s("n_nationkey")).alias("id"), F.col("n_name").alias("label"))
+    # Order and line do not tell rows apart in this table, so the row's other columns join the key.
+    keyed = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_suppkey", text.alias("text"))
+    return G.substituted(keyed, [c for c in keyed.columns if c != "text"], "text", "par", labels).select("l_orderkey", "l_linenumber", "text")
 
 
 @query("j05_parent_labels", "SELECT s_name AS text, n_name AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 4 <> 0")

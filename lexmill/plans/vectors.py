@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import vectors as V
 from lexmill.operators import kge as K
+from lexmill.operators.order import bounded_broadcast
 from lexmill.operators.sampling import hash_pick
 
 from .base import CTE, query
@@ -118,13 +119,13 @@ def _(t):
 
 @query("n06_top_similar", "SELECT qid, id, similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS place FROM (SELECT q.id AS qid, l.id AS id, round(list_dot_product(q.v, l.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(l.v, l.v))), 6) AS similarity FROM vec q, lib l)) WHERE place <= 3", ("vec", "lib"))
 def _(t):
-    return K.nearest(vec(t).select(F.col("id").alias("qid"), F.col("v").alias("q")), F.broadcast(library(t)), 3).withColumn("place", F.col("place").cast("bigint"))
+    return K.nearest(vec(t).select(F.col("id").alias("qid"), F.col("v").alias("q")), bounded_broadcast(library(t)), 3).withColumn("place", F.col("place").cast("bigint"))
 
 
 @query("j09_paragraph_knn", "SELECT qid, id, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS place FROM (SELECT q.id AS qid, l.id AS id, round(list_dot_product(q.v, l.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(l.v, l.v))), 6) AS similarity FROM lib q, vec l)) WHERE place <= 5", ("vec", "lib"))
 def _(t):
     queries = library(t).select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    return K.nearest(F.broadcast(queries), vec(t).select("id", "v"), 5).select("qid", "id", F.col("place").cast("bigint").alias("place"))
+    return K.nearest(bounded_broadcast(queries), vec(t).select("id", "v"), 5).select("qid", "id", F.col("place").cast("bigint").alias("place"))
 
 
 @query("j08_negative_sampling")
@@ -141,7 +142,7 @@ def _(t):
     ("vec", "lib"),
 )
 def _(t):
-    return K.attention(vec(t).select(F.col("id").alias("qid"), F.col("v").alias("q")), F.broadcast(library(t)))
+    return K.attention(vec(t).select(F.col("id").alias("qid"), F.col("v").alias("q")), bounded_broadcast(library(t)))
 
 
 @query("j19_similar_pairs", "SELECT id, CASE WHEN list_dot_product(h, r) / (sqrt(list_dot_product(h, h)) * sqrt(list_dot_product(r, r))) > 0.1 THEN 'yes' ELSE 'no' END AS same FROM trip", ("vec", "trip"))

@@ -150,3 +150,16 @@ def test_streams(spark, tmp_path):
     seen = []
     J.for_each_batch(J.stream_table(spark, str(tmp_path / "in")), lambda df, n: seen.append(df.count()), str(tmp_path / "cp2")).awaitTermination()
     assert sum(seen) == 9
+
+
+def test_labels_replace_ids(spark):
+    texts = spark.createDataFrame([(1, "a <par>§ 1</par> b <par>§ 9</par>"), (2, "plain"), (3, "")], "k int, text string")
+    nodes = spark.createDataFrame([("§ 1", "Ziel")], "id string, label string")
+    assert {r["k"]: r["text"] for r in G.substituted(texts, ["k"], "text", "par", nodes).collect()} == {1: "a <par>Ziel</par> b <par>§ 9</par>", 2: "plain", 3: ""}
+    assert {r["k"]: r["text"] for r in G.substituted(texts, ["k"], "text", "par", nodes, True).collect()}[1] == "a Ziel b <par>§ 9</par>"
+
+
+def test_balanced_takes_the_first_of_each(spark):
+    rows = spark.range(100).select("id", F.when(F.col("id") % 10 == 0, "no").otherwise("yes").alias("label"))
+    got = sorted((r["label"], r["id"]) for r in P.balanced(rows, "label", "id").collect())
+    assert [i for lab, i in got if lab == "no"] == list(range(0, 100, 10)) and [i for lab, i in got if lab == "yes"] == [1, 2, 3, 4, 5, 6, 7, 8, 9, 11]
