@@ -319,10 +319,10 @@ def _(t):
     return t.part.select("p_partkey", F.concat(X.fixed_width(F.col("p_name"), 20), L("|"), X.fixed_width(F.col("p_size"), 6)).alias("line"))
 
 
-@query("s32_checkpoint_name", "SELECT DISTINCT base || '_StVO_clm_nsp_' || clm || '_clu_' || clu || '_cls_' || cls AS name FROM parsed WHERE clm IS NOT NULL", ("ledger", "parsed"))
+@query("s32_checkpoint_name", "SELECT DISTINCT base || '_corpus_clm_nsp_' || clm || '_clu_' || clu || '_cls_' || cls AS name FROM parsed WHERE clm IS NOT NULL", ("ledger", "parsed"))
 def _(t):
     c = F.col
-    return parsed(t).filter("clm IS NOT NULL").select(X.checkpoint_name(c("base"), L("StVO"), c("clm"), c("clu"), c("cls")).alias("name")).distinct()
+    return parsed(t).filter("clm IS NOT NULL").select(X.checkpoint_name(c("base"), L("corpus"), c("clm"), c("clu"), c("cls")).alias("name")).distinct()
 
 
 _RESPONSE = """CASE ord % 4 WHEN 0 THEN 'Sure: [ {"question": "Q' || ord || '", "answer": "A", "label": "yes"}, {"question": "R", "answer": "B", "label": "no"} ] end'
