@@ -28,8 +28,37 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Paths and tables that operators of this process have made for their results.
+_scratch: list[str] = []
+_tables: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lexmill-{name}-{uuid.uuid4().hex}"
+    _scratch.append(f"{shared_dir(spark)}/lexmill-{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def scratch_table(name: str) -> str:
+    """A table's name that drop_scratch removes."""
+    _tables.append(name)
+    return name
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Remove what operators have left in the shared folder; to be called once their results are written. Returns the number of paths.
+
+    Results that are still lazy read these files. An index or ledger at a path of the caller's own stays.
+    """
+    for table in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    gone = 0
+    for text in _scratch:
+        path = hadoop.Path(text)
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _tables.clear()
+    _scratch.clear()
+    return gone
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, keep_rows, lookup, scratch_path, shuffle_partitions, text_hash
+from .common import checkpoint, documents, keep_rows, lookup, scratch_path, scratch_table, shuffle_partitions, text_hash
 
 #: The white space that normalisation deletes.
 SPACES = " \t\n\x0b\x0c\r"
@@ -99,7 +99,10 @@ class DigestIndex:
 
 def open_index(spark: SparkSession, path: str | None = None, buckets: int | None = None) -> DigestIndex:
     """The index at path, or a new one in the shared folder with as many buckets as the session has shuffle partitions."""
-    return DigestIndex(spark, path or scratch_path(spark, "digests"), buckets or shuffle_partitions(spark))
+    index = DigestIndex(spark, path or scratch_path(spark, "digests"), buckets or shuffle_partitions(spark))
+    if path is None:
+        scratch_table(index.table)
+    return index
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

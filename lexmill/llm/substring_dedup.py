@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, scratch_path, shuffle_partitions
+from .common import documents, materialize, scratch_path, scratch_table, shuffle_partitions
 
 WINDOW, BLOCK = 13, 7
 #: Bytes of text that make a chunk full, words of all texts for one bucket, and the least bits of an anchor's hash.
@@ -303,7 +303,7 @@ def remove_repeats(docs: DataFrame, whole: bool = True) -> DataFrame:
     """A row for each row of docs; with whole also the removed word ranges and the text that is left."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    name = f"text_chunks_{uuid.uuid4().hex}"
+    name = scratch_table(f"text_chunks_{uuid.uuid4().hex}")
     path = scratch_path(spark, "chunks")
     packed = pack_chunks(docs).repartition(parts, "chunk")
     packed.write.format("parquet").option("path", path).option("compression", "uncompressed").bucketBy(parts, "chunk").sortBy("chunk").saveAsTable(name)

@@ -60,6 +60,17 @@ def test_index_persists_and_repeats_add_nothing(spark, docs, tmp_path):
     assert later["keep_id"] == 2 and not later["kept"]
 
 
+def test_scratch_is_dropped_once_results_are_written(spark, docs):
+    from lexmill.llm.common import drop_scratch
+
+    rows = exact_dedup.open_index(spark).mark(docs).collect()
+    words = substring_dedup.remove_repeats(docs, whole=False).collect()
+    tables = {t.name for t in spark.catalog.listTables()}
+    assert drop_scratch(spark) >= 4 and drop_scratch(spark) == 0
+    assert not {t for t in tables & {t.name for t in spark.catalog.listTables()} if t.startswith("text_chunks_")}
+    assert len(rows) == len(words) == len(corpus())
+
+
 def slow_fingerprint(text):
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = [w for w in re.split(SPLIT, text) if w]
