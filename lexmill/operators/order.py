@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.session import checkpointed
+
 
 #: Rows up to which a table is broadcast.
 BROADCAST_ROWS = 100_000
@@ -21,7 +23,8 @@ def global_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     Rows are range-partitioned and sorted; a partition's first number is the sum of the sizes before it, a table with a row
     for each partition. The order's columns must tell rows apart for the numbers to be the same every time.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    # Range bounds are sampled anew each time, so rows and partition sizes must come from one and the same sort.
+    placed = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_row", F.monotonically_increasing_id())
     placed = placed.withColumn("_part", F.shiftright("_row", 33))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "lexmill", **extra: str) -> SparkSession:
@@ -21,3 +23,19 @@ def local_session(cores: str = "8", app: str = "lexmill", **extra: str) -> Spark
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the folder in spark.checkpoint.dir, which all executors share: later plans read the same rows in the same partitions.
+
+    A local session that names no folder gets a temporary one; Spark removes the files once nothing refers to them.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            path = "file://" + tempfile.mkdtemp(prefix="lexmill-")
+        context.setCheckpointDir(path)
+    return df.checkpoint()

@@ -53,6 +53,14 @@ def test_global_index_is_gapless(spark):
     assert sorted((r["k"], r["i"]) for r in got) == [(i, i) for i in range(1000)]
 
 
+def test_global_index_of_many_rows_in_many_partitions(spark):
+    rows = spark.range(0, 300_000, 1, 7).select((F.col("id") * 7919 % 300_007).alias("k"), F.md5(F.col("id").cast("string")).alias("payload"))
+    got = global_index(rows, [F.col("k")], "i").agg(F.count("*"), F.count_distinct("i"), F.min("i"), F.max("i")).first()
+    assert tuple(got) == (300_000, 300_000, 0, 299_999)
+    pairs = global_index(rows, [F.col("k")], "i")
+    assert pairs.alias("a").join(pairs.alias("b"), F.expr("a.i + 1 = b.i")).filter("a.k >= b.k").count() == 0
+
+
 def test_splits_are_disjoint_and_whole(spark):
     rows = spark.range(500).select("id", (F.col("id") % 23).cast("string").alias("g"))
     got = P.group_split(rows, "g", 42, 0.16).collect()
