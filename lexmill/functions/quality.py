@@ -13,18 +13,18 @@ MIN_QUESTION, MAX_QUESTION, MIN_ANSWER, MAX_ANSWER, MIN_SCORE = 15, 200, 20, 500
 # Word lists and patterns of the validator.
 LEGAL_TERMS = {
     "de": (
-        "regulation anforderung law muss soll verboten erlaubt erlaubnis lizenz einhaltung verstoß strafe ausnahme bedingung vorschrift artikel "
-        "abschnitt fahrer fahrzeug straße verkehr geschwindigkeit entfernung signal zeichen verkehrssicherheit verhalten vorsicht rücksicht fahrbahn "
-        "fußgänger radfahrer kraftfahrzeug kraftrad lkw pkw haltlinie überholverbot rechtsabbiegeverbot vorfahrt fahrspurwechsel parkplatz "
-        "halteverbot einbahnstraße"
-    ).split(),
+        "regulation", "anforderung", "law", "muss", "soll", "verboten", "erlaubt", "erlaubnis", "lizenz", "einhaltung", "verstoß", "strafe",
+        "ausnahme", "bedingung", "vorschrift", "artikel", "abschnitt", "fahrer", "fahrzeug", "straße", "verkehr", "geschwindigkeit", "entfernung",
+        "signal", "zeichen", "verkehrssicherheit", "verhalten", "vorsicht", "rücksicht", "fahrbahn", "fußgänger", "radfahrer", "kraftfahrzeug",
+        "kraftrad", "lkw", "pkw", "haltlinie", "überholverbot", "rechtsabbiegeverbot", "vorfahrt", "fahrspurwechsel", "parkplatz", "halteverbot",
+        "einbahnstraße",
+    ),
     "en": (
-        "regulation requirement law must shall prohibited allowed permission license comply violation penalty exception condition provision article "
-        "section driver vehicle road traffic speed distance signal sign"
-    ).split()
-    + ["traffic safety"]
-    + "behavior caution consideration roadway pedestrian cyclist".split()
-    + ["motor vehicle", "motorcycle", "truck", "car", "stop line", "no overtaking", "no right turn", "right of way", "lane change", "parking lot", "no parking", "one-way street"],
+        "regulation", "requirement", "law", "must", "shall", "prohibited", "allowed", "permission", "license", "comply", "violation", "penalty",
+        "exception", "condition", "provision", "article", "section", "driver", "vehicle", "road", "traffic", "speed", "distance", "signal", "sign",
+        "traffic safety", "behavior", "caution", "consideration", "roadway", "pedestrian", "cyclist", "motor vehicle", "motorcycle", "truck", "car",
+        "stop line", "no overtaking", "no right turn", "right of way", "lane change", "parking lot", "no parking", "one-way street",
+    ),
 }
 YES_NO = {
     "de": r"^(ist|sind|war|waren|darf|dürfen|durfte|kann|könnte|wird|würde|soll|sollte|muss|musste|hat|haben|hatte|hatten)\s",

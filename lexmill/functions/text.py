@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,7 +112,7 @@ def qa_text(question: Column, answer: Column, paragraph: Column | None = None) -
     return text if paragraph is None else F.concat(paragraph, L(" "), text)
 
 
-#: Prompts by version; q and a stand for question and answer.
+#: Prompts by version; q, a and d stand for question, answer and the name of the test.
 PROMPTS = {
     1: "Given the question: '{q}', determine if the answer '{a}' is correct.Please Respond only with 'yes' if the answer is correct , or 'no' if the answer is not correct; without any additional explanation.",
     2: "Question: '{q}' Is the answer '{a}' correct? Respond with 'yes' or 'no' only.",
@@ -120,22 +122,39 @@ PROMPTS = {
     6: "Given the question '{q}', can you confirm if the corresponding answer '{a}' is accurate? Please respond simply with 'yes' if it is accurate, or 'no' if it is not.",
     7: "question: '{q}' Is the answer '{a}' true?. Respond only with 'yes' if true or 'no' if false.",
     8: "Question: {q}\n                   Answer: {a}\n                   Is this answer correct? Respond with 'yes' or 'no' only.",
+    10: """You are an expert evaluator. Your task is to determine the correctness of a given answer to a question for the {d} driving theory test.
+                ---
+                Question: "In which instances do you have to approach a pedestrian crossing with particular care?"
+                Answer: "If the view of the pedestrian crossing is restricted"
+                Response: yes
+
+                Question: "How can you tell while driving that an indicator lamp is not working?"
+                Answer: "You cannot detect a defective indicator lamp while driving"
+                Response: no
+
+                Question: "When may a tram be overtaken on the left?"
+                Answer: "When the rails run too far to the right"
+                Response: yes
+
+                Question: "{q}"
+                Answer: "{a}"
+                Response:""",
 }
 
 
-def prompt(version: Column, question: Column, answer: Column) -> Column:
+def prompt(version: Column, question: Column, answer: Column, test: str = "") -> Column:
     """The prompt of a version; unknown versions are version 1."""
-    fill = lambda text: F.concat(*[question if p == "{q}" else answer if p == "{a}" else L(p) for p in _parts(text)])
+    values = {"{q}": question, "{a}": answer, "{d}": L(test)}
+    fill = lambda text: F.concat(*[values[p] if p in values else L(p) for p in prompt_parts(text)])
     chosen = F.when(version == 1, fill(PROMPTS[1]))
     for number, text in PROMPTS.items():
         chosen = chosen.when(version == number, fill(text))
     return chosen.otherwise(fill(PROMPTS[1]))
 
 
-def _parts(text: str) -> list[str]:
-    import re
-
-    return [p for p in re.split(r"(\{[qa]\})", text) if p]
+def prompt_parts(text: str) -> list[str]:
+    """Literal texts and marks of a template in order."""
+    return [p for p in re.split(r"(\{[qad]\})", text) if p]
 
 
 def direct_prompt(version: Column, question: Column) -> Column:

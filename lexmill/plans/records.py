@@ -243,12 +243,12 @@ def _(t):
     return t.part.select("p_partkey", same_value(a, b).alias("same"))
 
 
-_PROMPT = lambda v: "concat(" + ", ".join("question" if p == "{q}" else "options[1]" if p == "{a}" else "'" + p.replace("'", "''") + "'" for p in X._parts(X.PROMPTS[v])) + ")"
+_PROMPT = lambda v: "concat(" + ", ".join("question" if p == "{q}" else "options[1]" if p == "{a}" else "'driving'" if p == "{d}" else "'" + p.replace("'", "''") + "'" for p in X.prompt_parts(X.PROMPTS[v])) + ")"
 
 
-@query("s18_prompts", f"SELECT qid, CASE qid % 9 {' '.join(f'WHEN {v} THEN {_PROMPT(v)}' for v in X.PROMPTS)} ELSE {_PROMPT(1)} END AS prompt FROM exam", ("exam",))
+@query("s18_prompts", f"SELECT qid, CASE qid % 11 {' '.join(f'WHEN {v} THEN {_PROMPT(v)}' for v in X.PROMPTS)} ELSE {_PROMPT(1)} END AS prompt FROM exam", ("exam",))
 def _(t):
-    return exam(t).select("qid", X.prompt(F.col("qid") % 9, F.col("question"), F.col("options")[0]).alias("prompt"))
+    return exam(t).select("qid", X.prompt(F.col("qid") % 11, F.col("question"), F.col("options")[0], "driving").alias("prompt"))
 
 
 @query("s19_qa_text", "SELECT ord, 'Question: ' || question || ' [SEP] Answer: ' || answer AS text FROM clean", ("qa", "clean"))
