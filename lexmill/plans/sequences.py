@@ -57,7 +57,7 @@ def _(t):
     return t.documents.select("doc_id", F.size(S.strided(X.words(F.col("text")), 16)).cast("bigint").alias("chunks"))
 
 
-@query("w08_token_blocks", "SELECT place // 128 AS block, sum(token) AS total, max(token) AS most, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS place, l_suppkey AS token FROM lineitem) WHERE place // 128 < (SELECT count(*) // 128 FROM lineitem) GROUP BY 1")
+@query("w08_token_blocks", "SELECT place // 128 AS block, CAST(sum(token) AS BIGINT) AS total, max(token) AS most, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS place, l_suppkey AS token FROM lineitem) WHERE place // 128 < (SELECT count(*) // 128 FROM lineitem) GROUP BY 1")
 def _(t):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("token"))
     blocks = S.token_blocks(rows, [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("token")], 128)
