@@ -70,6 +70,8 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     bit_weight: np.ndarray
+    #: Bits in which the two closest codewords differ.
+    apart: int = 1
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether the decision is ambiguous."""
@@ -82,9 +84,8 @@ class Model:
         score = float(1 / likely.sum())
         if len(order) == 1:
             return self.languages[0], score, False
-        apart = min((self.code[i] != self.code[j]).sum() for i in range(len(order)) for j in range(i))
         wrong = (np.sign(margin) != self.code[order[0]]).sum()
-        return self.languages[order[0]], score, bool(loss[order[1]] - loss[order[0]] < CLOSE or wrong > (apart - 1) // 2)
+        return self.languages[order[0]], score, bool(loss[order[1]] - loss[order[0]] < CLOSE or wrong > (self.apart - 1) // 2)
 
 
 def train(rows: list[tuple[str, np.ndarray]]) -> Model:
@@ -105,7 +106,8 @@ def train(rows: list[tuple[str, np.ndarray]]) -> Model:
         moved_b = 0.9 * moved_b - RATE * pull.sum(0)
         w, b = w + moved_w, b + moved_b
     right = (np.sign(x[back] @ w + b) == y[back]).mean(0) if back.any() else np.ones(len(b))
-    return Model(languages, code, w, b, np.clip(2 * right - 1, 0.05, 1).astype(np.float32))
+    apart = min((int((code[i] != code[j]).sum()) for i in range(len(code)) for j in range(i)), default=1)
+    return Model(languages, code, w, b, np.clip(2 * right - 1, 0.05, 1).astype(np.float32), apart)
 
 
 def held_out(doc_id: Column) -> Column:
