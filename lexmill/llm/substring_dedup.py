@@ -107,7 +107,7 @@ class Chunk:
             return starts, _mix(acc[starts])
 
 
-def pack_chunks(docs: DataFrame) -> DataFrame:
+def pack_chunks(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     """chunk, n_words, ids and body: documents in order, words joined by a space, documents by a line end, compressed."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,7 @@ def pack_chunks(docs: DataFrame) -> DataFrame:
                 ids.append(LAST if doc is None else doc)
                 texts.append(b" ".join(own))
                 size, words = size + len(texts[-1]), words + len(own)
-                if size >= CHUNK:
+                if size >= chunk_bytes:
                     yield full()
                     ids, texts, size, words, number = [], [], 0, 0, number + 1
         if ids:
@@ -162,7 +162,9 @@ def _exchange(sent: DataFrame, answer: Callable[[list[int], list[np.ndarray], li
         if held:
             yield from done()
 
-    near = sent.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "chunk", "hashes", "extra")
+    # Buckets are a multiple of the partitions, so dealing them in turn gives each partition as many.
+    parts = shuffle_partitions(sent.sparkSession)
+    near = sent.repartitionById(parts, (F.col("bucket") % parts).cast("int")).sortWithinPartitions("bucket").select("bucket", "chunk", "hashes", "extra")
     return near.mapInArrow(rows, "chunk bigint, hashes binary").groupBy("chunk").agg(F.collect_list("hashes").alias("answers"))
 
 
@@ -299,17 +301,20 @@ def _gone(chunk: Chunk, earlier: np.ndarray) -> np.ndarray:
     return np.cumsum(cover)[: len(chunk.words)] > 0
 
 
-def remove_repeats(docs: DataFrame, whole: bool = True) -> DataFrame:
-    """A row for each row of docs; with whole also the removed word ranges and the text that is left."""
+def remove_repeats(docs: DataFrame, whole: bool = True, chunk_bytes: int = CHUNK, bucket_words: int = BUCKET) -> DataFrame:
+    """A row for each row of docs; with whole also the removed word ranges and the text that is left.
+
+    A task holds about 30 bytes for each byte of a chunk and for each word of a bucket; both may grow with the executors' memory.
+    """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     name = scratch_table(f"text_chunks_{uuid.uuid4().hex}")
     path = scratch_path(spark, "chunks")
-    packed = pack_chunks(docs).repartition(parts, "chunk")
+    packed = pack_chunks(docs, chunk_bytes).repartition(parts, "chunk")
     packed.write.format("parquet").option("path", path).option("compression", "uncompressed").bucketBy(parts, "chunk").sortBy("chunk").saveAsTable(name)
     chunks = spark.read.table(name)
     words = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    buckets = max(1, -(-words // BUCKET))
+    buckets = parts * max(1, -(-words // (bucket_words * parts)))
     bits = min(62, max(ANCHOR_BITS, words.bit_length() + 10))
     anchors = materialize(_exchange(_probes(chunks, buckets, bits), _anchors), "anchors")
     hits = materialize(_exchange(_candidates(chunks.hint("merge").join(anchors, "chunk"), buckets, bits), _earlier), "hits")

@@ -195,7 +195,7 @@ def test_substring_dedup_over_many_chunks(spark, seed):
             words += draw.choice([p, p[a:], p[:a], [f"u{i}x{k}" for k in range(draw.randint(1, 30))]])
         rows.append((i, " ".join(words), "en", "s", 0))
     draw.shuffle(rows)
-    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(12)).collect()
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(12), chunk_bytes=400, bucket_words=50).collect()
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"], r["kept"]) for r in got) == removed(rows)
 
 
