@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,28 +45,66 @@ def ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio()
 
 
+#: Characters are counted modulo BINS; sums of minima over bins are never under those over characters.
+BINS = 64
+
+
+class _Kept:
+    """Texts kept so far: lengths and counts of characters, from which upper bounds of the ratio to all of them are taken at once."""
+
+    def __init__(self, n: int):
+        self.texts: list[str] = []
+        self.sizes, self.counts = np.zeros(n, np.int64), np.zeros((n, BINS), np.int32)
+
+    @staticmethod
+    def counted(low: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32) % BINS, minlength=BINS).astype(np.int32)
+
+    def add(self, low: str, counts: np.ndarray) -> None:
+        k = len(self.texts)
+        self.sizes[k], self.counts[k] = len(low), counts
+        self.texts.append(low)
+
+    def by_size(self, low: str, threshold: float) -> np.ndarray:
+        """Positions whose length alone leaves room for the threshold."""
+        sizes = self.sizes[: len(self.texts)]
+        return np.flatnonzero(2 * np.minimum(sizes, len(low)) >= (threshold - 1e-9) * (sizes + len(low)))
+
+    def by_counts(self, at: np.ndarray, low: str, counts: np.ndarray, threshold: float) -> np.ndarray:
+        """Those of the positions whose shared characters leave room, as in quick_ratio."""
+        shared = np.minimum(self.counts[at], counts).sum(1, dtype=np.int64)
+        return at[2 * shared >= (threshold - 1e-9) * (self.sizes[at] + len(low))]
+
+
 def near_duplicates_removed(records: DataFrame, threshold: float = 0.85, block: str = "paragraph_id") -> DataFrame:
-    """Greedy and in order, as published: a record goes if a kept one of its paragraph is alike in question and answer.
+    """Greedy and in order, as published: a record goes if a kept one of its paragraph is alike in whole question and answer.
 
-    A paragraph is handled by one task, as each decision needs those before it; the upper bound 2 * min / sum of lengths
-    leaves most comparisons out.
+    A paragraph is handled by one task, as each decision needs those before it; exact upper bounds by length and by counts of
+    characters leave most comparisons out.
     """
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[str, str]] = []
+        rows = rows.sort_values("ord")
+        questions, answers = _Kept(len(rows)), _Kept(len(rows))
         keep = []
-        for question, answer in rows.sort_values("ord")[["question", "answer"]].itertuples(index=False):
-            alike = any(_may(question, q, threshold) and _may(answer, a, threshold) and ratio(question, q) >= threshold and ratio(answer, a) >= threshold for q, a in kept)
+        for question, answer in rows[["question", "answer"]].itertuples(index=False):
+            q, a = question.lower(), answer.lower()
+            in_q, in_a = _Kept.counted(q), _Kept.counted(a)
+            at = np.intersect1d(questions.by_size(q, threshold), answers.by_size(a, threshold), assume_unique=True)
+            at = answers.by_counts(questions.by_counts(at, q, in_q, threshold), a, in_a, threshold)
+            alike = any(_ratio(q, questions.texts[k]) >= threshold and _ratio(a, answers.texts[k]) >= threshold for k in at.tolist())
             keep.append(not alike)
             if not alike:
-                kept.append((question, answer))
-        return rows.sort_values("ord")[keep]
+                questions.add(q, in_q)
+                answers.add(a, in_a)
+        return rows[keep]
 
     return records.groupBy(block).applyInPandas(greedy, records.schema)
 
 
-def _may(a: str, b: str, threshold: float) -> bool:
-    return not (a or b) or 2 * min(len(a), len(b)) / max(1, len(a) + len(b)) >= threshold
+def _ratio(a: str, b: str) -> float:
+    """ratio() of texts that are in lower case."""
+    return difflib.SequenceMatcher(None, a, b).ratio()
 
 
 def structural_issues(records: DataFrame) -> DataFrame:

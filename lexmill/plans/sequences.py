@@ -107,7 +107,7 @@ def _(t):
 
 @query("j14_near_duplicates")
 def _(t):
-    rows = QA.first_of_each(clean(t)).select("ord", F.substring("question", 1, 200).alias("question"), F.substring("answer", 1, 200).alias("answer"), "paragraph_id")
+    rows = QA.first_of_each(clean(t)).select("ord", "question", "answer", "paragraph_id")
     return QA.near_duplicates_removed(rows).select("ord", "paragraph_id")
 
 
