@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,28 +144,71 @@ def ngram_diversity(texts: DataFrame, column: str, sizes: tuple[int, ...] = (1,
     return grams.groupBy("n").agg(F.sum("c").alias("total"), F.count("*").alias("distinct_ngrams"), F.round(F.count("*") / F.sum("c"), 9).alias("diversity"))
 
 
+def _bleu(r: list[str], c: list[str], size: int) -> float:
+    log, top = 0.0, min(size, len(c))
+    for n in range(1, top + 1):
+        met, have = (Counter(zip(*(words[k:] for k in range(n)))) for words in (r, c))
+        hit, total = sum(min(k, met[g]) for g, k in have.items() if g in met), len(c) - n + 1
+        smooth = hit / total if n == 1 else (hit + 1) / (total + 1)
+        log += math.log(smooth) if smooth > 0 else -1e9
+    return math.exp(log / top) * (1.0 if len(c) >= len(r) else math.exp(1 - len(r) / len(c))) if c else 0.0
+
+
 def bleu(pairs: DataFrame, key: str, reference: str, candidate: str, size: int = 4) -> DataFrame:
-    """BLEU of each pair: clipped n-gram precision, smoothed by adding 1 beyond single words, and the brevity penalty."""
-    both = pairs.select(key, X.words(F.lower(reference)).alias("r"), X.words(F.lower(candidate)).alias("c"))
-    tagged = lambda t, n: F.transform(ngrams(t, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
-    counted = lambda side: both.select(
-        key, F.explode(let(F.col(side), lambda t: F.concat(*[tagged(t, n) for n in range(1, size + 1)]))).alias("x")
-    ).groupBy(key, "x.n", "x.gram").agg(F.count("*").alias(f"in_{side}"))
-    met = counted("c").join(counted("r"), [key, "n", "gram"], "left")
-    hits = met.groupBy(key, "n").agg(F.sum(F.least("in_c", F.coalesce("in_r", F.lit(0)))).alias("hit"), F.sum("in_c").alias("all"))
-    smooth = F.when(F.col("n") == 1, F.col("hit") / F.col("all")).otherwise((F.col("hit") + 1) / (F.col("all") + 1))
-    logs = hits.groupBy(key).agg(F.sum(F.when(smooth > 0, F.ln(smooth)).otherwise(F.lit(-1e9))).alias("log"), F.max("n").alias("top"))
-    sized = both.select(key, F.size("r").alias("r"), F.size("c").alias("c")).join(logs, key, "left")
-    brevity = F.when(F.col("c") >= F.col("r"), 1.0).otherwise(F.exp(1 - F.coalesce(F.try_divide(F.col("r"), F.col("c")), F.lit(0))))
-    return sized.select(key, F.round(F.coalesce(F.exp(F.col("log") / F.col("top")) * brevity, F.lit(0.0)), 9).alias("bleu"))
-
-
-def _lcs(a: list, b: list) -> int:
-    row = np.zeros(len(b) + 1, np.int64)
-    index = np.array([hash(x) for x in b])
+    """BLEU of each pair: clipped n-gram precision, smoothed by adding 1 beyond single words, and the brevity penalty.
+
+    n-grams are counted in the row, so none of them is shuffled.
+    """
+
+    @F.pandas_udf(DoubleType())
+    def score(r: pd.Series, c: pd.Series) -> pd.Series:
+        none = lambda words: [] if words is None else list(words)
+        return pd.Series([_bleu(none(x), none(y), size) for x, y in zip(r, c)], dtype="float64")
+
+    return pairs.select(key, F.round(score(X.words(F.lower(reference)), X.words(F.lower(candidate))), 9).alias("bleu"))
+
+
+def _places(words: list[str], among: list[str]) -> dict[str, int]:
+    """For each of the words that is also among the others, the bits of its places."""
+    wanted, places = set(among), {}
+    for i, w in enumerate(words):
+        if w in wanted:
+            places.setdefault(w, []).append(i)
+    masks = {}
+    for w, at in places.items():
+        bits = bytearray(at[-1] // 8 + 1)
+        for i in at:
+            bits[i >> 3] |= 1 << (i & 7)
+        masks[w] = int.from_bytes(bits, "little")
+    return masks
+
+
+def _lcs(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence; a row of the table is the bits of one integer, so memory grows with b and not with a times b."""
+    masks, full = _places(b, a), (1 << len(b)) - 1
+    row = full
     for x in a:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(index == hash(x), row[:-1] + 1, 0)))
-    return int(row[-1])
+        if x in masks:
+            met = row & masks[x]
+            row = ((row + met) | (row - met)) & full
+    return len(b) - row.bit_count()
+
+
+def _edits(a: list[str], b: list[str]) -> int:
+    """Edit distance by Myers' bit vectors: plus and minus hold the steps of a column of the table, one bit for each word of a."""
+    if not a:
+        return len(b)
+    masks, full, top = _places(a, b), (1 << len(a)) - 1, len(a) - 1
+    plus, minus, edits = full, 0, len(a)
+    for x in b:
+        equal = masks.get(x, 0)
+        down = equal | minus
+        across = (((equal & plus) + plus) ^ plus) | equal
+        more, less = (minus | ~(across | plus)) & full, plus & across
+        edits += (more >> top & 1) - (less >> top & 1)
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        plus, minus = (less | ~(down | more)) & full, more & down
+    return edits
 
 
 @F.pandas_udf(DoubleType())
@@ -184,12 +227,7 @@ def word_error_rate(reference: pd.Series, candidate: pd.Series) -> pd.Series:
     out = []
     for r, c in zip(reference, candidate):
         a, b = (r or "").split(), (c or "").split()
-        row, steps = np.arange(len(b) + 1), np.arange(len(b) + 1)
-        names = np.array([hash(x) for x in b], np.int64)
-        for i, x in enumerate(a, 1):
-            best = np.concatenate(([i], np.minimum(row[1:] + 1, row[:-1] + (names != hash(x)))))
-            row = np.minimum.accumulate(best - steps) + steps
-        out.append(float(row[-1]) / len(a) if a else float(bool(b)))
+        out.append(_edits(a, b) / len(a) if a else float(bool(b)))
     return pd.Series(out, dtype="float64")
 
 

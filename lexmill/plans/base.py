@@ -104,6 +104,11 @@ def clean(t: Tables) -> DataFrame:
     return normalized(qa(t))
 
 
+def sides(t: Tables) -> DataFrame:
+    """A record's whole texts: its source as reference, question and answer as candidate."""
+    return clean(t).select("ord", F.concat_ws(" ", "paragraph", "sentence").alias("reference"), F.concat_ws(" ", "question", "answer").alias("candidate"))
+
+
 def exam(t: Tables) -> DataFrame:
     """Exam questions: options and expected answers are words of a benchmark text."""
     parts = F.split("text", " ")

@@ -11,7 +11,7 @@ from lexmill.operators import sequences as S
 from lexmill.operators.order import best_per
 from lexmill.operators.sampling import fold
 
-from .base import CTE, clean, ledger, parsed, predictions, qa, query, vectors
+from .base import CTE, ORACLES, clean, ledger, parsed, predictions, qa, query, sides, vectors
 
 L = F.lit
 CTE["toks"] = "toks AS (SELECT list_filter(string_split(lower(question), ' '), lambda w: w <> '') AS ws FROM clean)"
@@ -74,9 +74,20 @@ def _(t):
     return M.ngram_diversity(clean(t), "question")
 
 
+CTE["answer_toks"] = CTE["toks"].replace("toks AS", "answer_toks AS").replace("lower(question)", "lower(answer)")
+
+
+@query("a06_answer_diversity", ORACLES["a06_ngram_diversity"].split(CTE["toks"], 1)[1].replace("FROM toks", "FROM answer_toks"), ("qa", "clean", "answer_toks"))
+def _(t):
+    return M.ngram_diversity(clean(t), "answer")
+
+
+CTE["sides"] = "sides AS (SELECT ord, paragraph || ' ' || sentence AS reference, question || ' ' || answer AS candidate FROM clean)"
+
+
 @query("a07_bleu_rouge")
 def _(t):
-    rows = clean(t).select("ord", F.col("sentence").alias("reference"), F.col("question").alias("candidate"))
+    rows = sides(t)
     return M.bleu(rows, "ord", "reference", "candidate").join(rows.select("ord", F.round(M.rouge_l("reference", "candidate"), 9).alias("rouge_l")), "ord")
 
 
@@ -96,9 +107,18 @@ def _(t):
     return M.tfidf_cosine(clean(t), "ord", "sentence", "question")
 
 
+@query(
+    "a08_whole_texts",
+    ORACLES["a08_tfidf_cosine"].split(CTE["clean"], 1)[1].replace("lower(sentence)", "lower(reference)").replace("lower(question)", "lower(candidate)").replace("FROM clean", "FROM sides"),
+    ("qa", "clean", "sides"),
+)
+def _(t):
+    return M.tfidf_cosine(sides(t), "ord", "reference", "candidate")
+
+
 @query("a09_word_error_rate")
 def _(t):
-    return clean(t).select("ord", F.round(M.word_error_rate("sentence", "question"), 9).alias("wer"))
+    return sides(t).select("ord", F.round(M.word_error_rate("reference", "candidate"), 9).alias("wer"))
 
 
 _C = {"n": "count(*)", "yy": "y_true='yes' AND y_pred='yes'", "nn": "y_true='no' AND y_pred='no'", "ty": "y_true='yes'", "tn": "y_true='no'", "py": "y_pred='yes'", "pn": "y_pred='no'", "pi": "y_pred='invalid'"}

@@ -8,7 +8,7 @@ from lexmill.functions import quality as Q
 from lexmill.functions import text as X
 from lexmill.operators import qa as QA
 
-from .base import CTE, clean, exam, ledger, parsed, predictions, qa, query
+from .base import CTE, clean, exam, ledger, parsed, predictions, qa, query, sides
 
 L = F.lit
 
@@ -189,7 +189,7 @@ def _(t):
 def _(t):
     from lexmill.operators.metrics import ratcliff
 
-    return clean(t).select("ord", F.round(ratcliff("sentence", "question"), 9).alias("ratio"))
+    return sides(t).select("ord", F.round(ratcliff("reference", "candidate"), 9).alias("ratio"))
 
 
 @query("s11_normalize_label", "SELECT ord, CASE WHEN lower(trim(label)) IN ('yes', 'y', 'true', '1', 'correct') THEN 'correct' WHEN lower(trim(label)) IN ('no', 'n', 'false', '0', 'incorrect') THEN 'incorrect' END AS label FROM qa", ("qa",))

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from lexmill.operators import metrics as M
 from lexmill.operators import qa as QA
 from lexmill.plans.catalog import QUERIES
 
@@ -48,3 +49,27 @@ def test_near_duplicates_equal_plain_comparison(spark):
             kept.append(row)
     got = QA.near_duplicates_removed(spark.createDataFrame(rows, "ord int, question string, answer string, paragraph_id string")).collect()
     assert sorted(r["ord"] for r in got) == [k[0] for k in kept] and 30 <= len(kept) < 60
+
+
+def test_similarity_reads_whole_texts(run):
+    opening = "The driver must stop.\nSame opening of both."
+    texts = [opening, opening + " " + " ".join(f"tail{i}" for i in range(50))]
+    for name in ("a07_bleu_rouge", "a09_word_error_rate", "s10_ratcliff_ratio", "a08_whole_texts"):
+        short, long = (r.asDict() for r in sorted(run(name, texts), key=lambda r: r["ord"]))
+        assert {k: v for k, v in short.items() if k != "ord"} != {k: v for k, v in long.items() if k != "ord"}, name
+    # Only the sentence, of four words, is beyond question and answer.
+    assert [r["wer"] for r in sorted(run("a09_word_error_rate", texts), key=lambda r: r["ord"])] == [round(4 / 12, 9), round(4 / 62, 9)]
+    assert {r["n"]: r["total"] for r in run("a06_answer_diversity", texts)}[1] == 4 + 54
+
+
+def test_bit_vectors_equal_tables():
+    draw = random.Random(9)
+    for _ in range(300):
+        a, b = (draw.choices("abcde", k=draw.randrange(90)) for _ in "ab")
+        common, edits = {}, {}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                same = i and j and a[i - 1] == b[j - 1]
+                common[i, j] = 0 if not (i and j) else common[i - 1, j - 1] + 1 if same else max(common[i - 1, j], common[i, j - 1])
+                edits[i, j] = i + j if not (i and j) else min(edits[i - 1, j - 1] + (not same), edits[i - 1, j] + 1, edits[i, j - 1] + 1)
+        assert M._lcs(a, b) == common[len(a), len(b)] and M._edits(a, b) == edits[len(a), len(b)]
