@@ -1,9 +1,10 @@
 """Secret scans: base rules and a character convolutional network over every other candidate with its context.
 
-Candidates are runs of 16 or more key characters that hold a letter and a digit. The network (numpy) reads the characters around
+Candidates are runs of 16 or more key characters, a letter or digit among them, that base spans don't cover; of a run that
+they cover in part, the whole and then the parts of 16 or more characters outside them. The network (numpy) reads the characters around
 and in a candidate and says how likely it is a secret; it is fitted on seeded, generated findings with labels, its logits are
-calibrated on a second part of them, and its threshold is the greatest that finds RECALL of the secrets of a third part.
-Findings of the base rules always stay; a candidate that overlaps one is not reported again.
+calibrated on a second part of them, and its threshold is the greatest that finds RECALL of the secrets of a third part, where a secret without a candidate counts as missed.
+Findings of the base rules always stay; a finding of the network may overlap them.
 
 Null text is empty: no findings; `redact` leaves a null text null. Texts of any length are read whole, candidates of any
 length in windows of which the likeliest counts. Rows that repeat give equal rows; an empty table gives none. Extra columns
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 import string
 from collections.abc import Iterator
@@ -34,6 +36,7 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "model")
 
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+SHORTEST = 16
 LEFT, INNER, RIGHT = 24, 56, 16
 WIDTH = LEFT + INNER + RIGHT
 CODES, DEPTH, REACH, FILTERS = 98, 8, 5, 24
@@ -58,6 +61,28 @@ def runs_of(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in RUN.finditer(text)]
 
 
+def candidates(text: str, runs: list[tuple[int, int]], base: list[Span]) -> Iterator[list[tuple[int, int]]]:
+    """For each run that base spans don't cover: the run, then the parts outside them that are long enough, if these are others."""
+    first = 0
+    for a, b in runs:
+        while first < len(base) and base[first][1] <= a:
+            first += 1
+        if not any(map(str.isalnum, text[a:b])):
+            continue
+        parts, at = [], a
+        for s, e, _ in itertools.islice(base, first, None):
+            if s >= b:
+                break
+            if e > at:
+                if s > at:
+                    parts.append((at, s))
+                at = max(at, min(e, b))
+        if at < b:
+            parts.append((at, b))
+        if parts:
+            yield [(a, b)] + [(s, e) for s, e in parts if e - s >= SHORTEST and (s, e) != (a, b) and any(map(str.isalnum, text[s:e]))]
+
+
 def written(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
@@ -109,6 +134,11 @@ class Network:
 
 def generated(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """n labelled findings: secrets of several makes, and lookalikes, each in a context."""
+    return labelled(n, seed)[:2]
+
+
+def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """generated(n, seed), and how many secrets drawn on the way gave neither a candidate nor a base span that covers them."""
     draw = np.random.default_rng(seed)
     pick = lambda kinds: kinds[draw.integers(len(kinds))]
     of = lambda letters, a, b: "".join(letters[i] for i in draw.integers(0, len(letters), draw.integers(a, b)))
@@ -118,7 +148,7 @@ def generated(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     prose = lambda: " ".join(word(1, 4) for _ in range(draw.integers(2, 7)))
 
     def secret() -> str:
-        kind = draw.integers(7)
+        kind = draw.integers(8)
         if kind == 0:
             return of("0123456789ABCDEF", 24, 65)
         if kind == 1:
@@ -131,10 +161,12 @@ def generated(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             return of(low + up + num + "-_", 24, 64)
         if kind == 5:
             return of(up + num, 20, 40)
+        if kind == 6:
+            return of(low + up, 20, 48)
         return of(low + num, 20, 48)
 
     def lookalike() -> str:
-        kind = draw.integers(8)
+        kind = draw.integers(12)
         if kind == 0:
             return word(5, 9).replace("ó", "o") + of(num, 1, 5)
         if kind == 1:
@@ -149,19 +181,32 @@ def generated(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             return "".join(word(1, 3).replace("ó", "o").capitalize() for _ in range(draw.integers(4, 7))) + of(num, 1, 3)
         if kind == 6:
             return word(2, 4).replace("ó", "o") + "-" + of(num, 2, 4) + "-" + word(2, 5).replace("ó", "o") + "-" + of(num, 1, 4)
+        if kind == 7:
+            return word(6, 12).replace("ó", "o")
+        if kind == 8:
+            return pick(["-", "_", "/"]).join(word(1, 4).replace("ó", "o") for _ in range(draw.integers(4, 7)))
+        if kind == 9:
+            return "".join(word(1, 3).replace("ó", "o").capitalize() for _ in range(draw.integers(5, 8)))
+        if kind == 10:
+            return "-".join(of(num, 2, 5) for _ in range(draw.integers(5, 8)))
         return word(1, 2).replace("ó", "o").upper() + "-" + of(num, 4, 6) + "-" + of(num, 4, 6) + "-" + of(num, 4, 6)
 
-    rows, labels = [], []
+    rows, labels, missed = [], [], 0
     while len(rows) < n:
         positive = bool(draw.integers(2))
         value = secret() if positive else lookalike()
         before = pick(["", "key ", "id: ", "auth=", "Bearer ", "pass: ", "see ", "ref ", "x = \"", "(", "http://a.example/"]) if draw.random() < 0.5 else ""
         text = f"{prose()}{pick([' ', '. ', chr(10)])}{before}{value}{pick([' ', '. ', ', ', '\" ', ')'])}{prose()}"
-        hits = [(a, b) for a, b in runs_of(text) if any(c.isdigit() for c in text[a:b]) and any(c.isalpha() for c in text[a:b])]
+        at = text.index(value)
+        runs = runs_of(text)
+        base = base_spans(text, runs)
+        hits = [whole for whole, *_ in candidates(text, runs, base) if whole[0] < at + len(value) and at < whole[1]]
         if hits:
             rows.append(windows(text, *hits[0])[0])
             labels.append(positive)
-    return np.stack(rows), np.array(labels, np.float32)
+        elif positive and not any(s <= at and at + len(value) <= e for s, e, _ in base):
+            missed += 1
+    return np.stack(rows), np.array(labels, np.float32), missed
 
 
 @functools.lru_cache(maxsize=1)
@@ -205,9 +250,9 @@ def trained() -> Network:
         off = 1 / (1 + np.exp(-np.clip(scale * logit + shift, -40, 40))) - y
         scale, shift = scale - 0.05 * float((off * logit).mean()), shift - 0.05 * float(off.mean())
     net.scale, net.shift = max(scale, 1e-3), shift
-    x, y = generated(EXAMPLES // 3, SEED + 2)
+    x, y, missed = labelled(EXAMPLES // 3, SEED + 2)
     found = np.sort(net.probability(x)[y == 1])
-    net.threshold = float(found[int((1 - RECALL) * len(found))])
+    net.threshold = float(found[max(0, int((1 - RECALL) * (len(found) + missed)) - missed)])
     return net
 
 
@@ -216,11 +261,8 @@ def find(text: str, net: Network) -> tuple[list[Span], list[Span]]:
     runs = runs_of(text)
     base = base_spans(text, runs)
     more: list[Span] = []
-    for a, b in runs:
-        value = text[a:b]
-        if any(s < b and a < e for s, e, _ in base) or not any(map(str.isdigit, value)) or not any(map(str.isalpha, value)):
-            continue
-        if net.score(text, a, b) >= net.threshold:
+    for whole, *parts in candidates(text, runs, base):
+        for a, b in [whole] if net.score(text, *whole) >= net.threshold else [p for p in parts if net.score(text, *p) >= net.threshold]:
             more.append((a, b, "model"))
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
