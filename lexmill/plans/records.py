@@ -70,6 +70,18 @@ def _(t):
     return rows.select("ord", Q.reject_reason(c("question"), c("answer"), c("label"), c("sentence"), c("language")).alias("reject_reason"))
 
 
+#: The same cases with the whole answer.
+CTE["whole_cases"] = CTE["cases"].replace("cases AS", "whole_cases AS").replace("substr(answer, 1, 300) AS answer", "answer")
+
+
+@query("f02_whole_answers", f"SELECT ord, {STAGES} AS reject_reason FROM whole_cases", ("qa", "clean", "whole_cases"))
+def _(t):
+    c = F.col
+    more = F.when(c("ord") % 3 == 0, " The driver must stop.").otherwise("")
+    rows = clean(t).select("ord", F.concat("question", more).alias("question"), "answer", F.when(c("ord") % 10 == 0, "maybe").otherwise(c("label")).alias("label"), "sentence", "language")
+    return rows.select("ord", Q.reject_reason(c("question"), c("answer"), c("label"), c("sentence"), c("language")).alias("reject_reason"))
+
+
 @query(
     "f03_structural_issues",
     """SELECT ord, array_to_string(list_filter([CASE WHEN question IS NULL OR trim(question) = '' THEN 'missing question' END, CASE WHEN answer IS NULL OR trim(answer) = '' THEN 'missing answer' END,

@@ -73,3 +73,9 @@ def test_bit_vectors_equal_tables():
                 common[i, j] = 0 if not (i and j) else common[i - 1, j - 1] + 1 if same else max(common[i - 1, j], common[i, j - 1])
                 edits[i, j] = i + j if not (i and j) else min(edits[i - 1, j - 1] + (not same), edits[i - 1, j] + 1, edits[i, j - 1] + 1)
         assert M._lcs(a, b) == common[len(a), len(b)] and M._edits(a, b) == edits[len(a), len(b)]
+
+
+def test_validator_reads_whole_answers(run):
+    opening = "The driver must stop at the line before the sign. "
+    texts = [f"Where does a driver stop?\n{opening * 8}{end}" for end in ("", opening * 4, "xxx")]
+    assert [r["reject_reason"] for r in sorted(run("f02_whole_answers", texts), key=lambda r: r["ord"])][1:] == ["answer too long", "placeholder"]
