@@ -8,7 +8,7 @@ from lexmill.functions import quality as Q
 from lexmill.functions import text as X
 from lexmill.operators import qa as QA
 
-from .base import CTE, clean, exam, ledger, parsed, predictions, qa, query, sides
+from .base import CTE, ORACLES, clean, exam, ledger, parsed, predictions, qa, query, sides
 
 L = F.lit
 
@@ -320,6 +320,11 @@ def _(t):
     return t.pages.select("page_id", X.dot_quote(F.substring("html", 1, 80)).alias("quoted"))
 
 
+@query("s29_whole_html", ORACLES["s29_dot_quote"].replace("substr(html, 1, 80)", "html"))
+def _(t):
+    return t.pages.select("page_id", X.dot_quote(F.col("html")).alias("quoted"))
+
+
 @query("s30_odd_tag_strip", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'a <par>x</par> b' ELSE 'x tail' END AS text FROM part")
 def _(t):
     text = F.when(F.col("p_partkey") % 2 == 0, "a <par>x</par> b").otherwise("x> y </> tail")

@@ -79,3 +79,8 @@ def test_validator_reads_whole_answers(run):
     opening = "The driver must stop at the line before the sign. "
     texts = [f"Where does a driver stop?\n{opening * 8}{end}" for end in ("", opening * 4, "xxx")]
     assert [r["reject_reason"] for r in sorted(run("f02_whole_answers", texts), key=lambda r: r["ord"])][1:] == ["answer too long", "placeholder"]
+
+
+def test_whole_html_is_quoted(spark, run):
+    pages = spark.createDataFrame([(1, "http://a.example", "x" * 90 + '<a href="b">')], "page_id bigint, url string, html string")
+    assert run("s29_whole_html", ["one"], pages=pages)[0]["quoted"] == '"' + "x" * 90 + '<a href=\\"b\\">"'
