@@ -4,8 +4,8 @@ Each language has a codeword; a logistic classifier over hashed byte n-grams pre
 codeword with the least loss, each bit weighted by what its classifier reached on rows kept back from its training, and
 flags a text as ambiguous if two codewords are close or if the hard bits are further off than the code can correct.
 
-The classifiers are fitted on at most PER_LANGUAGE labelled rows of each of at most LANGUAGES languages, the first by a
-hash of doc_id; everything else reads all rows and whole texts. Null text and text without letters give `und`, score 0,
+The classifiers are fitted on labelled rows of every language, the first of each by a hash of doc_id: at most PER_LANGUAGE,
+or fewer if there are more than LANGUAGES languages, so that the sample keeps its size; everything else reads all rows and whole texts. Null text and text without letters give `und`, score 0,
 not ambiguous; so does every text if there are no labelled rows. Rows with a null doc_id are never learned from and count
 as held out. Repeated rows each get their answer; ties in loss go to the language that sorts first. Extra columns are not
 read; `keep_identified` returns them as they are.
@@ -14,6 +14,7 @@ read; `keep_identified` returns them as they are.
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-PER_LANGUAGE, LANGUAGES = 300, 200
+PER_LANGUAGE, LANGUAGES, FEW = 300, 200, 30
 DIMENSIONS, STEPS, RATE, DECAY, CLOSE, REJECT = 4096, 250, 2.0, 1e-4, 1.0, 0.5
 UNKNOWN = "und"
-BLOCK = 1 << 20
+BLOCK, BLOCK_ROWS = 1 << 20, 1024
 
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint32)
 
@@ -59,8 +60,18 @@ def codewords(n: int) -> np.ndarray:
         return np.array(columns, np.float32).T
     draw = np.random.default_rng(7)
     width = 10 * int(np.ceil(np.log2(n)))
-    best = max((np.where(draw.random((n, width)) < 0.5, -1, 1) for _ in range(20)), key=lambda m: min((m[i] != m[j]).sum() for i in range(n) for j in range(i)))
-    return best.astype(np.float32)
+    return max((np.where(draw.random((n, width)) < 0.5, -1, 1).astype(np.float32) for _ in range(20)), key=closest)
+
+
+def closest(code: np.ndarray) -> int:
+    """Bits in which the two closest of the codewords differ; 1 if there is just one."""
+    n, width = code.shape
+    least = width if n > 1 else 1
+    for at in range(0, n, BLOCK_ROWS):
+        alike = code[at : at + BLOCK_ROWS] @ code.T
+        alike[np.arange(len(alike)), at + np.arange(len(alike))] = -width
+        least = min(least, int(width - alike.max()) // 2)
+    return least
 
 
 @dataclass
@@ -89,14 +100,19 @@ class Model:
 
 
 def train(rows: list[tuple[str, np.ndarray]]) -> Model:
-    """Fit a classifier for each bit; every fourth row is kept back to weigh the bits."""
-    languages = sorted({lang for lang, _ in rows})
+    """Fit a classifier for each bit; every fourth row of a language is kept back to weigh the bits."""
+    places = {lang: k for k, lang in enumerate(sorted({lang for lang, _ in rows}))}
+    languages = list(places)
     if not languages:
         return Model([], np.zeros((0, 1)), np.zeros((DIMENSIONS, 1)), np.zeros(1), np.ones(1))
     code = codewords(len(languages))
     x = np.stack([v for _, v in rows])
-    y = code[[languages.index(lang) for lang, _ in rows]]
-    back = np.arange(len(rows)) % 4 == 3
+    y = code[[places[lang] for lang, _ in rows]]
+    seen = Counter()
+    back = np.zeros(len(rows), bool)
+    for k, (lang, _) in enumerate(rows):
+        back[k] = seen[lang] % 4 == 3
+        seen[lang] += 1
     fit_x, fit_y = x[~back], y[~back]
     w, b = np.zeros((DIMENSIONS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     moved_w, moved_b = np.zeros_like(w), np.zeros_like(b)
@@ -106,8 +122,7 @@ def train(rows: list[tuple[str, np.ndarray]]) -> Model:
         moved_b = 0.9 * moved_b - RATE * pull.sum(0)
         w, b = w + moved_w, b + moved_b
     right = (np.sign(x[back] @ w + b) == y[back]).mean(0) if back.any() else np.ones(len(b))
-    apart = min((int((code[i] != code[j]).sum()) for i in range(len(code)) for j in range(i)), default=1)
-    return Model(languages, code, w, b, np.clip(2 * right - 1, 0.05, 1).astype(np.float32), apart)
+    return Model(languages, code, w, b, np.clip(2 * right - 1, 0.05, 1).astype(np.float32), closest(code))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -118,15 +133,19 @@ def fit(docs: DataFrame) -> Model:
     """Learn from a bounded sample of the rows that are not held out."""
     rank = F.xxhash64(F.col("doc_id").cast("string"))
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    # Hashes are even over 64 bits, so this share of them holds about twice the rows that are wanted, whatever the table's size.
-    share = F.least(F.lit(1.0), F.lit(2.0 * PER_LANGUAGE) / F.col("n"))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    sizes = sizes.select("lang", (share * 2.0**64 - 2.0**63).alias("below"))
-    near = known.select("lang", rank.alias("rank")).join(F.broadcast(sizes), "lang").filter(F.col("rank") <= F.col("below"))
+    each = max(1, min(PER_LANGUAGE, PER_LANGUAGE * LANGUAGES // max(1, known.agg(F.count_distinct("lang")).first()[0])))
+    # Hashes are even over 64 bits, so this share of them holds about twice the rows that are wanted, whatever the table's size,
+    # and some rows for sure of a language of few.
+    share = F.least(F.lit(1.0), F.lit(2.0 * max(each, FEW)) / F.col("n"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (share * 2.0**64 - 2.0**63).alias("below"))
+    texts = known.filter(F.col("text").isNotNull()).select("lang", "text", rank.alias("rank")).join(F.broadcast(sizes), "lang").filter(F.col("rank") <= F.col("below"))
     top = Window.partitionBy("lang").orderBy("rank")
-    last = near.withColumn("n", F.row_number().over(top)).filter(F.col("n") <= PER_LANGUAGE).groupBy("lang").agg(F.max("rank").alias("last"))
-    sample = known.filter(F.col("text").isNotNull()).select("lang", "text", rank.alias("rank")).join(F.broadcast(last), "lang").filter("rank <= last")
-    sample = sample.limit(PER_LANGUAGE * LANGUAGES)  # more only where a doc_id repeats without end
+    near = texts.select("lang", "rank")
+    last = near.withColumn("n", F.row_number().over(top)).filter(F.col("n") <= each).groupBy("lang").agg(F.max("rank").alias("last"))
+    sample = texts.join(F.broadcast(last), "lang").filter("rank <= last").select("lang", "text", "rank")
+    # Of each language, as rows whose doc_id repeats share a rank.
+    ordered = Window.partitionBy("lang").orderBy("rank", F.xxhash64("text"))
+    sample = sample.withColumn("n", F.row_number().over(ordered)).filter(F.col("n") <= each)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
