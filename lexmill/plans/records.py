@@ -172,6 +172,11 @@ def _(t):
     return t.documents.select("doc_id", F.array_join(F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, 3), "|").alias("segments"))
 
 
+@query("f13_ten_segments", ORACLES["f13_segments"].replace("[1:3]", "[1:10]"))
+def _(t):
+    return t.documents.select("doc_id", F.array_join(F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, 10), "|").alias("segments"))
+
+
 @query("f14_dispatch", "SELECT qid, CASE WHEN image IS NOT NULL THEN 'image' WHEN category = 'direct_answer' THEN 'direct' ELSE 'multiple choice' END AS route FROM exam", ("exam",))
 def _(t):
     return exam(t).select("qid", F.when(F.col("image").isNotNull(), "image").when(F.col("category") == "direct_answer", "direct").otherwise("multiple choice").alias("route"))

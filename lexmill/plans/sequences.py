@@ -105,6 +105,20 @@ def _(t):
     return t.documents.select("doc_id", F.size(ids).alias("segments"), F.array_max(F.transform(ids, F.size)).alias("width"))
 
 
+_REAL = r"flatten(list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1:64], lambda l: list_transform(list_filter(string_split(trim(regexp_replace(l, '\s+', ' ', 'g')), ' '), lambda w: w <> '')[1:128], lambda w: length(w))))"
+
+
+@query("g02_padded_documents", f"SELECT doc_id, 64 AS segments, 128 AS width, coalesce(list_sum({_REAL}), 0)::BIGINT AS id_sum, len({_REAL})::BIGINT AS mask_sum FROM documents")
+def _(t):
+    from lexmill.functions.vectors import padded
+
+    lines = F.slice(F.concat(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), F.array_repeat(L(""), 64)), 1, 64)
+    both = F.transform(lines, lambda s: padded(F.transform(X.words(s), F.length), 128, L(0)))
+    total = lambda name: F.aggregate(F.flatten(F.transform("x", lambda p: p[name])), L(0).cast("bigint"), lambda a, v: a + v)
+    rows = t.documents.select("doc_id", both.alias("x"))
+    return rows.select("doc_id", F.size("x").alias("segments"), F.array_max(F.transform("x", lambda p: F.size(p["ids"]))).alias("width"), total("ids").alias("id_sum"), total("mask").alias("mask_sum"))
+
+
 @query("j14_near_duplicates")
 def _(t):
     rows = QA.first_of_each(clean(t)).select("ord", "question", "answer", "paragraph_id")

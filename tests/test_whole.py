@@ -84,3 +84,10 @@ def test_validator_reads_whole_answers(run):
 def test_whole_html_is_quoted(spark, run):
     pages = spark.createDataFrame([(1, "http://a.example", "x" * 90 + '<a href="b">')], "page_id bigint, url string, html string")
     assert run("s29_whole_html", ["one"], pages=pages)[0]["quoted"] == '"' + "x" * 90 + '<a href=\\"b\\">"'
+
+
+def test_segments_of_the_reference_sizes(run):
+    lines = [f"line {i} has five words" for i in range(12)]
+    got = run("g02_padded_documents", ["\n".join(lines)])[0]
+    assert (got["segments"], got["width"], got["mask_sum"]) == (64, 128, 60) and got["id_sum"] == sum(len(w) for s in lines for w in s.split())
+    assert run("f13_ten_segments", ["\n".join(lines)])[0]["segments"] == "|".join(lines[:10])
