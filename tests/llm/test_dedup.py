@@ -115,6 +115,72 @@ def test_near_duplicates(spark, docs, texts, empty):
     assert near_dedup.near_duplicates(empty).count() == 0 == near_dedup.deduplicate(empty).count()
 
 
+def slow_set(text, shingle=5):
+    words = [w for w in re.split(SPLIT, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+    return {tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def alike(sets, similarity=0.8):
+    """Component of each set under links of at least this share of the union, by comparing all pairs."""
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= similarity * len(a | sets[j]):
+                parent[find(i)] = find(j)
+    return [find(i) for i in range(len(sets))]
+
+
+def families(draw):
+    """Texts in families of near copies of many degrees, and texts alone."""
+    word = lambda: f"w{draw.randrange(3000)}"
+    rows = []
+    for size in (1, 2, 2, 3, 5, 9, 40, 90):
+        for _ in range(4):
+            base = [word() for _ in range(draw.randint(30, 250))]
+            for k in range(size):
+                copy = list(base)
+                for _ in range(k and draw.choice((0, 1, 1, 2, len(copy) // 40, len(copy) // 15))):
+                    copy[draw.randrange(len(copy))] = word()
+                rows.append(" ".join(copy))
+    draw.shuffle(rows)
+    return rows
+
+
+def same(found, want):
+    return len(set(zip(found, want))) == len(set(found)) == len(set(want))
+
+
+def test_similar_documents(spark, docs, texts, empty):
+    want = alike([slow_set(t) for t in texts])
+    rows = near_dedup.similar_documents(docs)
+    least = {r: min((i for (i, *_), q in zip(corpus(), want) if q == r and i is not None), default=None) for r in want}
+    assert Counter((r["doc_id"], r["component_id"]) for r in rows.collect()) == Counter((i, least[q]) for (i, *_), q in zip(corpus(), want))
+    kept = near_dedup.deduplicate_similar(docs)
+    assert kept.columns == docs.columns and kept.count() == len(set(want))
+    assert near_dedup.similar_documents(empty).count() == 0 == near_dedup.deduplicate_similar(empty).count()
+
+
+@pytest.mark.parametrize("crowd, small, copy", [(1 << 15, 48, 1000), (20, 8, 3)])
+def test_similar_documents_by_brute_force(spark, monkeypatch, crowd, small, copy):
+    """No link is wrong; of what all pairs would join at 0.8, 95 of 100 are joined (pairs that share no segment are missed)."""
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "PAIRS_A_COPY", copy)
+    texts = families(random.Random(3))
+    want = alike([slow_set(t) for t in texts])
+    rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS).repartition(5)
+    root = {r["doc_id"]: r["component_id"] for r in near_dedup.similar_documents(rows).collect()}
+    got = [root[i] for i in range(len(texts))]
+    assert all(len({want[i] for i in range(len(texts)) if got[i] == c}) == 1 for c in set(got))
+    assert len(texts) - len(set(got)) >= 0.95 * (len(texts) - len(set(want))) > 100
+
+
 def test_links_of_dense_and_chained_fingerprints(spark):
     draw = random.Random(5)
     values = set()

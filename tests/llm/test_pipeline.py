@@ -7,7 +7,7 @@ import corpus_pipeline
 import __spark_entry__
 from lexmill.llm import secret_scan
 
-from .test_dedup import closed, slow_fingerprint
+from .test_dedup import alike, slow_set
 from .test_text import check_packing
 
 
@@ -24,7 +24,7 @@ def test_run(spark, sf_dir):
     for r in rows:
         groups[re.sub(r"[\x20\x09-\x0D]", "", r[1])].append(r)
     rows = [min(g, key=lambda r: (-len(r[1]), r[0])) for g in groups.values()]
-    roots = closed([slow_fingerprint(r[1]) for r in rows])
+    roots = alike([slow_set(r[1]) for r in rows])
     best = {}
     for r, root in zip(rows, roots):
         best[root] = min(best.get(root, r), r)
