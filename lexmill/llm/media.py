@@ -1,7 +1,8 @@
 """Matroska media columns: EBML elements, clusters, lacing and cues as packet tables.
 
 `mux` stores bytes as 8-bit samples of one audio track; `demux` reads any Matroska bytes whose blocks are unencrypted:
-elements of known and unknown size, SimpleBlock and BlockGroup, all four lacings, several tracks.
+elements of known and unknown size, SimpleBlock and BlockGroup, all four lacings, several tracks. A block of a group is a key
+frame if the group refers to no other block; a group's duration spaces its laced frames where the track has no default.
 
 Null text is empty text; an empty payload has no packets. A text of any length is handled frame by frame. Bytes that are no
 Matroska, or end early, give the packets before the fault and an error text. Equal texts give equal rows; repeated rows
@@ -29,11 +30,13 @@ SEGMENT, INFO, TIMESTAMP_SCALE, DURATION = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
 DEFAULT_DURATION, AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+REFERENCE_BLOCK, BLOCK_DURATION = 0xFB, 0x9B
+SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS = 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
 MASTERS = frozenset({SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS})
 #: An element of unknown size ends where one of these begins, unless it can hold it.
-TOP = frozenset({SEGMENT, INFO, TRACKS, CLUSTER, CUES})
+TOP = frozenset({SEGMENT, SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES, TAGS, CHAPTERS, ATTACHMENTS})
 
 FRAME, RATE, FRAMES_A_BLOCK, BLOCKS_A_CLUSTER = 192, 8000, 8, 128
 FRAME_MS = FRAME * 1000 // RATE
@@ -195,11 +198,15 @@ def _walk(data: bytes, at: int, end: int, parent: int | None, media: Media, stat
                 media.clusters.append((begin, 0))
             elif kind == TRACK_ENTRY:
                 state["track"] = {}
+            elif kind == BLOCK_GROUP:
+                state["group"], state["refers"], state["lasts"] = len(media.packets), False, None
             at = _walk(data, at, stop, kind, media, state, unknown)
             if kind == TRACK_ENTRY:
                 media.tracks[state["track"].get("number", 0)] = state["track"]
             elif kind == CUE_TRACK_POSITIONS:
                 media.cues.append(tuple(state["cue"]))
+            elif kind == BLOCK_GROUP:
+                _close_group(media, state)
             continue
         if kind in (SIMPLE_BLOCK, BLOCK):
             _block(data, at, stop, kind, media, state)
@@ -209,12 +216,25 @@ def _walk(data: bytes, at: int, end: int, parent: int | None, media: Media, stat
     return at
 
 
+def _close_group(media: Media, state: dict) -> None:
+    """Key frames and times of the packets of a block group, known once all of it is read."""
+    packets = media.packets[state["group"] :]
+    spread = state["lasts"] and packets and not media.tracks.get(packets[0][0], {}).get("frame_ns")
+    for k, (track, when, at, size, cluster, _) in enumerate(packets):
+        when += k * state["lasts"] * state["scale"] // (len(packets) * 1_000_000) if spread else 0
+        media.packets[state["group"] + k] = (track, when, at, size, cluster, not state["refers"])
+
+
 def _value(body: bytes, kind: int, media: Media, state: dict) -> None:
     number = lambda: int.from_bytes(body, "big")
     real = lambda: struct.unpack(">d" if len(body) == 8 else ">f", body)[0]
     if kind == TIMESTAMP:
         state["base"] = number()
         media.clusters[-1] = (media.clusters[-1][0], number() * state["scale"] // 1_000_000)
+    elif kind == REFERENCE_BLOCK:
+        state["refers"] = True
+    elif kind == BLOCK_DURATION:
+        state["lasts"] = number()
     elif kind == TIMESTAMP_SCALE:
         state["scale"] = number()
     elif kind == DURATION:
