@@ -28,8 +28,8 @@ from .common import documents
 from .tokens import byte_alphabet, tokenizer_path
 
 WORD_BPE = "word_bpe_49k.json"
-#: A worker forgets its words beyond this number.
-WORDS = 400_000
+#: A worker forgets its words, and its pairs of tokens, beyond this number, and its words beyond this number of characters.
+WORDS, CHARACTERS = 400_000, 1 << 25
 
 
 class WordBpe:
@@ -63,6 +63,7 @@ class WordBpe:
         self.longest = max(self.sizes.values(), default=1)
         self.safe: dict[tuple[str, str], bool] = {}
         self.known: dict[str | int, tuple[int, str, str]] = {}
+        self.size = 0
 
     def _symbols(self, token: str) -> tuple[str, ...]:
         """The initial symbols of a token: characters, of which the last may carry the end mark."""
@@ -118,10 +119,9 @@ class WordBpe:
             shared = min(n - 1, len(above)) if above[: n - 1] == word[: len(above)][: n - 1] else len(os.path.commonprefix((above, word[:-1])))
             del tokens[shared:], begins[shared:]
             for depth in range(shared + 1, n + 1):
-                prefix = word + end if depth == n else word[:depth]
                 # The longest tokens that end here first; the one that fits the encoding before it is the only one that does.
                 for begin in range(depth - longest if depth > longest else 0, depth):
-                    token = prefix[begin:]
+                    token = word[begin:depth] if depth < n else word[begin:] + end
                     if begin < depth - 1 and token not in stands:
                         continue
                     if not begin or (ok := safe.get((tokens[begin - 1], token))) or ok is None and fits(tokens[begin - 1], token):
@@ -157,14 +157,16 @@ class WordBpe:
     def learn(self, texts: Iterable[list[str | int]]) -> None:
         """Encode the words of texts that are not known yet."""
         new = {w for pieces in texts for w in pieces if w not in self.known}
-        if len(self.known) + len(new) > WORDS:
+        if len(self.known) + len(new) > WORDS or self.size > CHARACTERS:
             self.known.clear()
+            self.size = 0
             new = {w for pieces in texts for w in pieces}
         for special in [w for w in new if isinstance(w, int)]:
             self.known[special] = (1, str(special), self.decode([special]))
             new.discard(special)
         for word, ids in self.encode_words(new).items():
-            self.known[word] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+            self.known[word] = known = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+            self.size += len(word) + len(known[1]) + len(known[2])
 
     def encode(self, text: str) -> list[int]:
         words = list(self.pieces(text))
