@@ -2,11 +2,14 @@
 
 A batch is reduced to one row for each digest, the rows whose digests the index lacks are found by a sort-merge
 anti-join against the bucketed table (which is not shuffled for it) and appended. Appending a batch again adds nothing.
+Every batch adds a file to each bucket; beyond FILES of them a bucket's files are merged into one, in a folder beside the old
+one, which counts once it is complete.
 
 Null text counts as empty; empty texts form one group. An empty batch leaves the index as it is and gives no rows.
 Rows that agree in doc_id and text tie fully: `mark` gives them the same answer, `deduplicate` keeps one of them.
 Of equal texts within a batch the one with the most code points stays, then the smallest doc_id (a null doc_id is last).
-A text that the index has from an earlier batch keeps the document of that batch. Other columns are not looked at;
+A text that the index has from an earlier batch keeps the document of that batch, and the group_size that it had there: a batch
+that comes again must change nothing. Texts of any length are hashed whole. Other columns are not looked at;
 `deduplicate` returns them as they are, whatever their names.
 """
 
@@ -37,20 +40,66 @@ def keys(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Files of a bucket that an index lets come together before it merges them.
+FILES = 16
+
+
 class DigestIndex:
-    """An external Parquet table at path, in `buckets` buckets by digest; later sessions open it with the same arguments."""
+    """An external Parquet table in `buckets` buckets by digest, in the last complete generation under path; later sessions open it with the same arguments."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int):
         self.spark, self.path, self.buckets = spark, path, buckets
         self.table = "digest_index_" + hashlib.md5(path.encode()).hexdigest()
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} ({INDEX}) USING parquet LOCATION '{path}' "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS"
+        self._open(self._generation())
+
+    def _files(self):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        return hadoop.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop.Path
+
+    def _generation(self) -> int:
+        """The greatest number of a complete generation; 0 if there is none."""
+        files, path = self._files()
+        if not files.exists(path(self.path)):
+            return 0
+        names = [s.getPath().getName() for s in files.listStatus(path(self.path))]
+        numbers = [int(n.removeprefix("generation-")) for n in names if n.startswith("generation-")]
+        return max((n for n in numbers if files.exists(path(f"{self.path}/generation-{n}/_SUCCESS"))), default=0)
+
+    def _open(self, generation: int) -> None:
+        self.generation, self.place = generation, f"{self.path}/generation-{generation}"
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        self._create(self.table, self.place)
+
+    def _create(self, table: str, place: str) -> None:
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {table} ({INDEX}) USING parquet LOCATION '{place}' "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS"
         )
 
+    def _append(self, rows: DataFrame, table: str, place: str) -> None:
+        rows = rows.repartition(self.buckets, "digest")
+        rows.write.mode("append").format("parquet").option("path", place).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(table)
+
     def read(self) -> DataFrame:
         return self.spark.read.table(self.table)
 
+    def compact(self) -> None:
+        """Merge the files of each bucket. Results that still read the old generation stay readable; the generation before it goes."""
+        files, path = self._files()
+        after, table = self.generation + 1, f"{self.table}_next"
+        place = f"{self.path}/generation-{after}"
+        files.delete(path(place), True)  # of a merge that was lost
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self._create(table, place)
+        self._append(self.read(), table, place)
+        self.spark.sql(f"DROP TABLE {table}")
+        files.delete(path(f"{self.path}/generation-{self.generation - 1}"), True)
+        self._open(after)
+
+    def _crowded(self) -> bool:
+        files, path = self._files()
+        return files.exists(path(self.place)) and files.getContentSummary(path(self.place)).getFileCount() > FILES * self.buckets
+
     def ingest(self, batch: DataFrame) -> tuple[DataFrame, int]:
         """Append the digests of `batch` (rows of `keys`) that are new; returns the batch's groups and its number of rows."""
         rows = batch.groupBy("digest", "doc_id", "n_points", "text_hash").agg(F.count("*").alias("n"))
@@ -58,22 +107,16 @@ class DigestIndex:
         groups = checkpoint(rows.groupBy("digest").agg(best, F.sum("n").alias("n_rows")))
         total = groups.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
         fresh = groups.hint("merge").join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        (
-            fresh.select(
-                "digest",
-                (-F.col("best.minus_id")).alias("keep_id"),
-                F.col("best.text_hash").alias("keep_hash"),
-                F.col("best.n").alias("keep_rows"),
-                F.col("n_rows").alias("group_size"),
-            )
-            .repartition(self.buckets, "digest")
-            .write.mode("append")
-            .format("parquet")
-            .option("path", self.path)
-            .bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .saveAsTable(self.table)
+        kept = fresh.select(
+            "digest",
+            (-F.col("best.minus_id")).alias("keep_id"),
+            F.col("best.text_hash").alias("keep_hash"),
+            F.col("best.n").alias("keep_rows"),
+            F.col("n_rows").alias("group_size"),
         )
+        self._append(kept, self.table, self.place)
+        if self._crowded():
+            self.compact()
         return groups.select("digest", "n_rows"), total
 
     def mark(self, docs: DataFrame) -> DataFrame:

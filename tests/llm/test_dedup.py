@@ -60,6 +60,20 @@ def test_index_persists_and_repeats_add_nothing(spark, docs, tmp_path):
     assert later["keep_id"] == 2 and not later["kept"]
 
 
+def test_index_merges_its_files(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FILES", 2)
+    path = f"file://{tmp_path}/{uuid.uuid4().hex}"
+    index = exact_dedup.open_index(spark, path, 3)
+    for k in range(5):
+        index.mark(spark.createDataFrame([(k, f"text {i}", "en", "s", 1) for i in range(10 * k, 10 * k + 30)], DOCS)).count()
+    assert index.generation > 0 and index.read().count() == 70 == index.read().select("digest").distinct().count()
+    again = exact_dedup.open_index(spark, path, 3)
+    assert again.generation == index.generation and again.read().count() == 70
+    assert sorted(map(str, again.mark(docs).collect())) == sorted(map(str, exact_dedup.open_index(spark).mark(docs).collect()))
+    later = again.mark(spark.createDataFrame([(90, "text 1", "en", "s", 1), (91, "text 1", "en", "s", 1)], DOCS)).collect()
+    assert {(r["keep_id"], r["group_size"], r["kept"]) for r in later} == {(0, 1, False)}  # as of the batch that brought the text
+
+
 def test_scratch_is_dropped_once_results_are_written(spark, docs):
     from lexmill.llm.common import drop_scratch
 
