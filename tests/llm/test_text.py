@@ -31,6 +31,18 @@ def test_byte_ids_are_the_librarys(text):
     assert encode(byte_bpe(tokenizer_path(BYTE_BPE)), text).tolist() == BYTES.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [*(c * 5_000_000 + end for c in " \n\t\u3000" for end in ("", "x")), "q" * 1_000_000, "a  " + "\r\n" * 400_000 + "<|endoftext|>"], ids=range(10))
+def test_long_runs_have_the_librarys_byte_ids(text):
+    assert np.array_equal(encode(byte_bpe(tokenizer_path(BYTE_BPE)), text), BYTES.encode(text, add_special_tokens=False).ids)
+
+
+def test_long_runs_pass_through_packing_and_counts(spark):
+    rows = [(1, " " * 1_000_000 + "x", "en", "s", 1), (2, "\n" * 900_000, "en", "s", 1), (3, "word " * 200_000, "en", "s", 1)]
+    table = spark.createDataFrame(rows, DOCS)
+    check_packing(packing.pack_documents(table, tokenizer_path(BYTE_BPE)).collect(), rows)
+    assert sorted(r["n_words"] for r in token_counts.counted(table, tokenizer_path(BYTE_BPE)).collect()) == [0, 1, 200_000]
+
+
 @settings(max_examples=400, deadline=None)
 @given(TEXT)
 def test_word_ids_and_decoding_are_the_librarys(text):
@@ -43,6 +55,24 @@ def test_long_words_and_special_tokens():
         assert MINE.encode(text) == WORDS.encode(text, add_special_tokens=False).ids
 
 
+def test_words_take_time_in_proportion_and_the_cache_is_bounded(monkeypatch):
+    import time
+
+    draw = random.Random(2)
+    took = []
+    for n in (50_000, 400_000):
+        word = "".join(draw.choices("abcdefghij", k=n))
+        start = time.process_time()
+        got = MINE.encode(word)
+        took.append(time.process_time() - start)
+        assert got == WORDS.encode(word, add_special_tokens=False).ids
+    assert took[1] < 24 * took[0]
+    monkeypatch.setattr(bpe, "CHARACTERS", 1000)
+    for k in range(5):
+        MINE.learn([[f"x{k}" * 400]])
+    assert len(MINE.known) == 1
+
+
 def test_encode_documents(spark, docs, empty):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     want = Counter()
@@ -184,6 +214,32 @@ def test_matroska_parts():
     assert [p[1] for p in read.packets] == [1005] * 3 + [2000] * 3 and [p[4] for p in read.packets] == [0] * 3 + [1] * 3
 
 
+def foreign():
+    """A file as other programs write them: two tracks, block groups with and without references, durations, tags, unknown sizes."""
+    e, u = media.element, media.unsigned
+    track = lambda n, *more: e(media.TRACK_ENTRY, u(media.TRACK_NUMBER, n) + u(media.TRACK_TYPE, 1) + b"".join(more))
+    bare = lambda track, at, frame: media.vint(track) + at.to_bytes(2, "big", signed=True) + b"\0" + frame
+    laced = media.vint(2) + (40).to_bytes(2, "big") + bytes([media.FIXED << 1, 3]) + b"wxyz"
+    group = lambda body, *more: e(media.BLOCK_GROUP, e(media.BLOCK, body) + b"".join(more))
+    head = e(media.EBML, b"") + media.element_id(media.SEGMENT) + b"\x01" + b"\xff" * 7
+    head += e(media.SEEK_HEAD, b"\xec\x81\0") + e(media.INFO, u(media.TIMESTAMP_SCALE, 1_000_000)) + e(media.TRACKS, track(1, u(media.DEFAULT_DURATION, 20_000_000)) + track(2))
+    first = media.element_id(media.CLUSTER) + b"\xff" + u(media.TIMESTAMP, 500) + group(bare(1, 0, b"key")) + group(bare(1, -20, b"next"), e(media.REFERENCE_BLOCK, b"\xec"))
+    first += group(laced, u(media.BLOCK_DURATION, 80))
+    tags = e(media.TAGS, e(0x7373, b"\x67\xc8\x80"))
+    second = media.element_id(media.CLUSTER) + b"\xff" + u(media.TIMESTAMP, 900) + e(media.SIMPLE_BLOCK, bare(1, 0, b"plain")) + e(0xEC, b"pad")
+    return head + first + tags + second
+
+
+def test_foreign_files():
+    data = foreign()
+    read = media.demux(data)
+    assert read.error is None and len(read.clusters) == 2 and sorted(read.tracks) == [1, 2]
+    assert [(t, when, data[o : o + n], c, key) for t, when, o, n, c, key in read.packets] == [
+        (1, 500, b"key", 0, True), (1, 480, b"next", 0, False),
+        (2, 540, b"w", 0, True), (2, 560, b"x", 0, True), (2, 580, b"y", 0, True), (2, 600, b"z", 0, True), (1, 900, b"plain", 1, False),
+    ]
+
+
 def test_media_features(spark, docs, empty):
     want = Counter()
     for i, t, *_ in corpus():
@@ -224,6 +280,29 @@ def test_token_ledger(spark, docs, empty):
     assert ledger.commit("none", token_counts.inserts(token_counts.counted(empty, tokenizer_path(BYTE_BPE)).select("source", "lang", F.lit("b").alias("version"), F.col("n_bpe").alias("tokens"))))
     with pytest.raises(ValueError):
         ledger.commit("a/b", rows)
+    with pytest.raises(ValueError):
+        ledger.commit("one", token_counts.inserts(rows))
+
+
+def test_drafts_of_lost_committers_do_not_count(spark, docs):
+    rows = token_counts.counted(docs, tokenizer_path(BYTE_BPE)).select("source", "lang", F.lit("w").alias("version"), F.col("n_words").alias("tokens"))
+    ledger = token_counts.Ledger(spark, scratch_path(spark, "ledger"))
+    assert ledger.commit("one", token_counts.inserts(rows))
+    before = sorted(map(str, ledger.totals().collect()))
+    draft = spark.createDataFrame([("s", "en", "w", 5, 5)], token_counts.COMMIT)
+    draft.write.parquet(f"{ledger.path}/data/draft=dlost")
+    assert sorted(map(str, ledger.totals().collect())) == before
+
+
+def test_token_report(spark, docs, empty):
+    want = Counter()
+    for _, t, lang, source, _ in corpus():
+        for version, n in (("words-1", len((t or "").encode().split())), ("byte_bpe_50k", len(BYTES.encode(t or "", add_special_tokens=False).ids))):
+            want[source, lang, version, "documents"] += 1
+            want[source, lang, version, "tokens"] += n
+    got = token_counts.token_report(docs).collect()
+    assert {(r["source"], r["lang"], r["version"], k): r[k] for r in got for k in ("documents", "tokens")} == dict(want)
+    assert token_counts.token_report(empty).count() == 0
 
 
 RECORDS = "record_id bigint, warc_type string, uri string, at timestamp, http_headers string, payload_digest string"
