@@ -4,10 +4,11 @@ Each language has a codeword; a logistic classifier over hashed byte n-grams pre
 codeword with the least loss, each bit weighted by what its classifier reached on rows kept back from its training, and
 flags a text as ambiguous if two codewords are close or if the hard bits are further off than the code can correct.
 
-The classifiers are fitted on labelled rows of every language, the first of each by a hash of doc_id: at most PER_LANGUAGE,
-or fewer if there are more than LANGUAGES languages, so that the sample keeps its size; everything else reads all rows and whole texts. Null text and text without letters give `und`, score 0,
+The classifiers are fitted on labelled rows of every language, the first of each by a hash of doc_id and text: at most
+PER_LANGUAGE distinct rows, or fewer if that makes more than SAMPLE rows of all languages, but at least one of each; everything
+else reads all rows and whole texts. Rows without text are not learned from. Null text and text without letters give `und`, score 0,
 not ambiguous; so does every text if there are no labelled rows. Rows with a null doc_id are never learned from and count
-as held out. Repeated rows each get their answer; ties in loss go to the language that sorts first. Extra columns are not
+as held out. Ids may repeat. Repeated rows are learned once; each gets its answer; ties in loss go to the language that sorts first. Extra columns are not
 read; `keep_identified` returns them as they are.
 """
 
@@ -23,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, lookup
 
-PER_LANGUAGE, LANGUAGES, FEW = 300, 200, 30
+PER_LANGUAGE, SAMPLE, FEW = 300, 12_000, 30
+#: Languages up to which their thresholds, and sampled rows up to which these, are broadcast.
+BROADCAST_LANGUAGES, BROADCAST_ROWS = 10_000, 50_000
 DIMENSIONS, STEPS, RATE, DECAY, CLOSE, REJECT = 4096, 250, 2.0, 1e-4, 1.0, 0.5
 UNKNOWN = "und"
 BLOCK, BLOCK_ROWS = 1 << 20, 1024
@@ -106,7 +109,7 @@ def train(rows: list[tuple[str, np.ndarray]]) -> Model:
     if not languages:
         return Model([], np.zeros((0, 1)), np.zeros((DIMENSIONS, 1)), np.zeros(1), np.ones(1))
     code = codewords(len(languages))
-    x = np.stack([v for _, v in rows])
+    x = np.stack([v for _, v in rows]).astype(np.float32)
     y = code[[places[lang] for lang, _ in rows]]
     seen = Counter()
     back = np.zeros(len(rows), bool)
@@ -129,32 +132,37 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
+def _sample(docs: DataFrame) -> DataFrame:
+    """lang, rank and text of the rows to learn from: of each language those with the least hashes of doc_id and text."""
+    rank = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
+    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", rank.alias("rank"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("rank").alias("distinct"), F.count("*").alias("n"))
+    languages, total = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    each = max(1, min(PER_LANGUAGE, SAMPLE // max(1, languages)))
+    # Hashes of distinct rows are even over 64 bits, so this share of them holds about twice the rows that are wanted, whatever
+    # the table's size, and some rows for sure of a language of few. What is left to be ranked is small.
+    share = F.least(F.lit(1.0), F.lit(2.0 * max(each, FEW)) / F.col("distinct"))
+    below = sizes.select("lang", (share * 2.0**64 - 2.0**63).alias("below"), "n")
+    ranks = known.select("lang", "rank")
+    ranks = ranks.join(F.broadcast(below), "lang") if languages <= BROADCAST_LANGUAGES else lookup(ranks, below, "lang", "n", total)
+    top = Window.partitionBy("lang").orderBy("rank")
+    chosen = ranks.filter("rank <= below").select("lang", "rank").distinct().withColumn("n", F.row_number().over(top)).filter(F.col("n") <= each).select("lang", "rank")
+    chosen = F.broadcast(chosen) if languages * each <= BROADCAST_ROWS else chosen.hint("merge")
+    return known.join(chosen, ["lang", "rank"]).dropDuplicates(["lang", "rank"])
+
+
 def fit(docs: DataFrame) -> Model:
     """Learn from a bounded sample of the rows that are not held out."""
-    rank = F.xxhash64(F.col("doc_id").cast("string"))
-    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    each = max(1, min(PER_LANGUAGE, PER_LANGUAGE * LANGUAGES // max(1, known.agg(F.count_distinct("lang")).first()[0])))
-    # Hashes are even over 64 bits, so this share of them holds about twice the rows that are wanted, whatever the table's size,
-    # and some rows for sure of a language of few.
-    share = F.least(F.lit(1.0), F.lit(2.0 * max(each, FEW)) / F.col("n"))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (share * 2.0**64 - 2.0**63).alias("below"))
-    texts = known.filter(F.col("text").isNotNull()).select("lang", "text", rank.alias("rank")).join(F.broadcast(sizes), "lang").filter(F.col("rank") <= F.col("below"))
-    top = Window.partitionBy("lang").orderBy("rank")
-    near = texts.select("lang", "rank")
-    last = near.withColumn("n", F.row_number().over(top)).filter(F.col("n") <= each).groupBy("lang").agg(F.max("rank").alias("last"))
-    sample = texts.join(F.broadcast(last), "lang").filter("rank <= last").select("lang", "text", "rank")
-    # Of each language, as rows whose doc_id repeats share a rank.
-    ordered = Window.partitionBy("lang").orderBy("rank", F.xxhash64("text"))
-    sample = sample.withColumn("n", F.row_number().over(ordered)).filter(F.col("n") <= each)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t.encode()).tobytes() for t in batch.column("text").to_pylist()]
+            x = [features(t.encode()).astype(np.float16).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("rank"), pa.array(x, pa.binary())], names=["lang", "rank", "x"])
 
-    found = sample.select("lang", "rank", "text").mapInArrow(vectors, "lang string, rank bigint, x binary").collect()
+    # At most SAMPLE rows of 8 KB come to the driver, or one of each language.
+    found = _sample(docs).select("lang", "rank", "text").mapInArrow(vectors, "lang string, rank bigint, x binary").collect()
     rows = sorted(found, key=lambda r: (r["rank"], r["lang"], bytes(r["x"])))
-    return train([(r["lang"], np.frombuffer(r["x"], np.float32)) for r in rows])
+    return train([(r["lang"], np.frombuffer(r["x"], np.float16)) for r in rows])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
