@@ -182,8 +182,10 @@ def test_secrets(spark, docs, empty):
     assert got[16]["text"] == '[SECRET]" [SECRET]' and got[16]["n_chars"] == len(got[16]["text"]) and got[6]["text"] is None and got[1]["text"] == corpus()[0][1]
     assert secret_scan.scan(empty, net).count() == 0 == secret_scan.redact(empty, net).count()
     x, y = secret_scan.generated(800, 77)
-    hit = net.probability(x) >= net.threshold
+    hit = np.array([net.accepts(n, p) for n, p in zip(x[:, 1].sum(1), net.probability(x))])
     assert hit[y == 1].mean() > 0.9 and hit[y == 0].mean() < 0.03
+    scored = {r["doc_id"]: r["scores"] for r in secret_scan.scan(docs, net).collect()}
+    assert {s.split(":")[0] for s in scored[16].split(",")} == {"assign", "access", "hex"} and rows[16]["n_candidates"] == 3
 
 
 @settings(max_examples=150, deadline=None)
