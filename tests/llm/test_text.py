@@ -353,6 +353,54 @@ def test_revisits_by_brute_force(spark):
             assert got[k] == (("resolved", max(before)[1]) if max(before)[2] == tag else ("validator mismatch", None))
 
 
+def test_revisits_that_repeat(spark):
+    """Repeated rows, a response whose id, URL and time repeat with another digest, a hot response, extra columns, a long header block."""
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1)
+    long = "".join(f"X-{k % 4000}: {k}\r\n" for k in range(8000)) + 'ETag: "a"'
+    rows = [(1, "response", "http://a.example/", t0, long, "d1"), (1, "response", "http://a.example/", t0, 'ETag: "a"', "d2"), (1, "response", "http://b.example/", t0, 'ETag: "b"', "d3")]
+    rows += [(2, "revisit", "http://a.example/", t0 + timedelta(days=1), 'ETag: "a"', None)] * 3 + [(2, "revisit", "http://b.example/", t0 + timedelta(days=2), 'ETag: "b"', None)]
+    rows += [(k, "revisit", "http://b.example/", t0 + timedelta(days=9), 'ETag: "b"', None) for k in range(10, 3000)]
+    table = spark.createDataFrame(rows, RECORDS)
+    for name in ("row", "url", "headers", "source", "tie", "block", "stored", "uses", "full"):
+        table = table.withColumn(name, F.lit("extra"))
+    got = warc.resolve_revisits(table.repartition(3)).collect()
+    assert len(got) == len(rows) and all(r["outcome"] in ("response", "resolved") for r in got)
+    second = [r for r in got if r["record_id"] == 2]
+    assert len({tuple(r) for r in second if r["url"] == "a.example"}) == 1 and len(second) == 4
+    assert {r["payload_digest"] for r in got if r["url"] == "b.example"} == {"d3"}
+    assert max(len(r["headers"].split("\n")) for r in got) == 4001 and {r["headers"] for r in got if "x-1: " in r["headers"]} == {max((r["headers"] for r in got), key=len)}
+
+
+def test_all_outcomes_in_the_history(spark, sf_dir):
+    got = Counter(r["outcome"] for r in warc.op10_warc(spark, sf_dir).collect())
+    assert set(got) == {"response", "resolved", "validator mismatch", "no validator", "no earlier response"}
+
+
+def test_warc_files_are_read(spark, tmp_path):
+    """Files of a folder, plain, gzip by record, cut off and no WARC, give the records that went in."""
+    import gzip
+
+    one = [warc._record(k, "response" if k % 2 else "revisit", f"http://a.example/{k}", "2024-01-02T03:04:05Z", f"ETag: {k}\r\n", "sha", "é" * k) for k in range(6)]
+    other = one[0].replace(b"server-not-modified", b"identical-payload-digest").replace(b"<urn:record:0>", b"<urn:uuid:x>")
+    (tmp_path / "a.warc").write_bytes(b"".join(one))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in one[:4]))
+    (tmp_path / "c.warc").write_bytes(one[1] + one[3][:-20])
+    (tmp_path / "d.warc").write_bytes(b"nothing")
+    (tmp_path / "e.warc").write_bytes(other)
+    rows = warc.read_warc(spark, f"file://{tmp_path}", bodies=True).collect()
+    of = defaultdict(list)
+    for r in rows:
+        of[r["path"].rsplit("/", 1)[1]].append(r)
+    assert [r["record_id"] for r in of["a.warc"]] == list(range(6)) and [r["body"].decode() for r in of["a.warc"]] == ["é" * k for k in range(6)]
+    assert [r["record_id"] for r in of["b.warc.gz"]] == list(range(4)) and str(of["a.warc"][0]["at"]) == "2024-01-02 03:04:05"
+    plain = b"".join(one)
+    assert all(plain[r["record_offset"] :].startswith(b"WARC/1.1") and r["record_offset"] + r["record_length"] <= len(plain) for r in of["a.warc"])
+    assert [r["warc_type"] for r in of["c.warc"]] == ["response", "error"] and [r["warc_type"] for r in of["d.warc"]] == ["error"]
+    assert of["e.warc"][0]["warc_type"] == "revisit of another profile" and len(warc.resolve_revisits(warc.read_warc(spark, f"file://{tmp_path}")).collect()) == len(rows)
+
+
 def test_parse_warc():
     import gzip
 
