@@ -10,6 +10,11 @@ sorted, delta-coded hashes move: each chunk sends a hash once, however often it
 documents comes to its bucket as often as there are chunks. Answers come back as the hashes that were hit; positions are
 never sent, as a chunk can find them again. Buckets grow in number with the words, not in size.
 
+A chunk sends at most FAN rows. Where there are more buckets than that, cells stand between: a cell takes one of FAN routes from a
+group of chunks, about as many hashes as a bucket, merges equal ones and sends what is left to at most as many buckets as
+there are groups, and the answers take the same way back. So rows stay a share of 1/FAN of a chunk or cell, however long the
+text is, and a passage that every chunk has comes to its bucket once for each group.
+
 Words are equal if their 64-bit hashes are, windows likewise: over n windows an accidental match has a chance of about
 n^2 / 2^65 in all. Anchor hashes are shorter; their accidental matches only cost time, as the longer windows decide.
 
@@ -36,6 +41,8 @@ from .common import documents, materialize, scratch_path, scratch_table, shuffle
 WINDOW, BLOCK = 13, 7
 #: Bytes of text that make a chunk full, words of all texts for one bucket, and the least bits of an anchor's hash.
 CHUNK, BUCKET, ANCHOR_BITS = 2 << 20, 1 << 21, 40
+#: Routes that a chunk's hashes take at most; FAN * FAN buckets, about 10^13 words, need no larger buckets.
+FAN = 2048
 LAST = np.iinfo(np.int64).max
 _SLICE = 4 << 20
 
@@ -136,48 +143,160 @@ def pack_chunks(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     return docs.select(docs["doc_id"].cast("bigint"), docs["text"]).mapInArrow(rows, "chunk bigint, n_words bigint, ids binary, body binary")
 
 
-def _exchange(sent: DataFrame, answer: Callable[[list[int], list[np.ndarray], list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
-    """Bring the rows (bucket, chunk, hashes, extra) of a bucket together and send each chunk the hashes that answer names for it.
+class Probes:
+    """Hashes of 7 words with two flags below: a sender has it as a block; it has it more than once. Hit are blocks that occur at two places or more."""
 
-    Rows (chunk, hashes as a list of coded arrays, one for each bucket that has any).
-    """
+    @staticmethod
+    def hashes(keys: np.ndarray) -> np.ndarray:
+        return keys >> U(2)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+    @staticmethod
+    def _counted(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        every = np.concatenate(keys)
+        value, place = np.unique(every >> U(2), return_inverse=True)
+        times = np.bincount(place, 1 + (every & U(1)).astype(np.int64), len(value))
+        block = np.zeros(len(value), bool)
+        block[place[(every & U(2)) > 0]] = True
+        return value, place, times, block
 
-        def done() -> Iterator[pa.RecordBatch]:
-            chunks = [r[1] for r in held]
-            found = answer(chunks, [_decode(r[2]) for r in held], [np.frombuffer(zstandard.decompress(r[3]), "<i8") if r[3] else None for r in held])
-            out = [(c, _encode(f)) for c, f in zip(chunks, found) if len(f)]
-            held.clear()
-            for at in range(0, len(out), 1000):
-                c, f = zip(*out[at : at + 1000])
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(f, pa.binary())], names=["chunk", "hashes"])
+    @classmethod
+    def hits(cls, keys: list[np.ndarray], _: list[np.ndarray]) -> list[np.ndarray]:
+        """For each sender its hashes that were hit."""
+        _, place, times, block = cls._counted(keys)
+        hit = (block & (times > 1))[place]
+        ends = np.cumsum([len(k) for k in keys])
+        return [k[hit[e - len(k) : e]] >> U(2) for k, e in zip(keys, ends)]
+
+    @classmethod
+    def merged(cls, keys: list[np.ndarray], _: list[np.ndarray]) -> tuple[np.ndarray, None]:
+        """What several senders have together, as of one."""
+        value, _, times, block = cls._counted(keys)
+        return value << U(2) | block.astype(np.uint64) << U(1) | (times > 1).astype(np.uint64), None
+
+    @classmethod
+    def shared(cls, keys: list[np.ndarray], _: list[np.ndarray], hit: np.ndarray) -> list[np.ndarray]:
+        """For each sender its part of what was hit for all of them together."""
+        return [(k >> U(2))[_among(k >> U(2), hit)] for k in keys]
+
+
+class Owners(Probes):
+    """Hashes of 13 words with the least doc_id that a sender has of each. Hit are those that another sender has with a smaller one."""
+
+    @staticmethod
+    def hashes(keys: np.ndarray) -> np.ndarray:
+        return keys
+
+    @staticmethod
+    def _least(keys: list[np.ndarray], owners: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        owner = np.concatenate(owners)
+        value, place = np.unique(np.concatenate(keys), return_inverse=True)
+        least = np.full(len(value), LAST)
+        np.minimum.at(least, place, owner)
+        return value, place, owner, least
+
+    @classmethod
+    def hits(cls, keys: list[np.ndarray], owners: list[np.ndarray]) -> list[np.ndarray]:
+        return cls.shared(keys, owners, np.empty(0, np.uint64))
+
+    @classmethod
+    def merged(cls, keys: list[np.ndarray], owners: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        value, _, _, least = cls._least(keys, owners)
+        return value, least
+
+    @classmethod
+    def shared(cls, keys: list[np.ndarray], owners: list[np.ndarray], hit: np.ndarray) -> list[np.ndarray]:
+        _, place, owner, least = cls._least(keys, owners)
+        gone = (owner > least[place]) | _among(np.concatenate(keys), hit)
+        ends = np.cumsum([len(k) for k in keys])
+        return [k[gone[e - len(k) : e]] for k, e in zip(keys, ends)]
 
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if held and row[0] != held[0][0]:
-                    yield from done()
-                held.append(row)
-        if held:
-            yield from done()
 
+Answer = Callable[[list[np.ndarray], list[np.ndarray]], list[np.ndarray]]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Runs of rows that agree in the first column."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if held and row[0] != held[0][0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _extra(row: tuple) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(row[3]), "<i8") if row[3] else np.empty(0, np.int64)
+
+
+def _together(sent: DataFrame, by: str) -> DataFrame:
     # Buckets are a multiple of the partitions, so dealing them in turn gives each partition as many.
     parts = shuffle_partitions(sent.sparkSession)
-    near = sent.repartitionById(parts, (F.col("bucket") % parts).cast("int")).sortWithinPartitions("bucket").select("bucket", "chunk", "hashes", "extra")
-    return near.mapInArrow(rows, "chunk bigint, hashes binary").groupBy("chunk").agg(F.collect_list("hashes").alias("answers"))
+    return sent.repartitionById(parts, (F.col(by) % parts).cast("int"))
+
+
+def _answers(sent: DataFrame, answer: Answer) -> DataFrame:
+    """Bring the rows (bucket, sender, hashes, extra) of a bucket together; rows (sender, hashes) with what answer names for it."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _groups(batches):
+            found = answer([_decode(r[2]) for r in held], [_extra(r) for r in held])
+            out = [(r[1], _encode(f)) for r, f in zip(held, found) if len(f)]
+            for at in range(0, len(out), 1000):
+                c, f = zip(*out[at : at + 1000])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(f, pa.binary())], names=["chunk", "hashes"])
 
-def _send(chunk: int, keys: np.ndarray, buckets: int, extra: np.ndarray | None = None) -> pa.RecordBatch:
-    """Sorted keys, dealt to buckets by their remainder (the key's two low bits are kept apart if extra is None)."""
-    bucket = (keys >> U(2) if extra is None else keys) % U(buckets)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
+    near = _together(sent, "bucket").sortWithinPartitions("bucket").select("bucket", "chunk", "hashes", "extra")
+    return near.mapInArrow(rows, "chunk bigint, hashes binary")
+
+
+def _exchange(sent: DataFrame, buckets: int, kind: type[Probes]) -> DataFrame:
+    """Rows (chunk, answers: a list of coded arrays of the hashes that were hit), for rows (bucket, chunk, hashes, extra) on routes."""
+    routes = _routes(buckets)
+    if routes == buckets:
+        found = _answers(sent, kind.hits)
+    else:
+        groups = -(-buckets // routes)
+        cells = materialize(sent.withColumn("cell", F.col("bucket") + routes * F.pmod(F.xxhash64("chunk"), F.lit(groups))), "cells")
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for held in _groups(batches):
+                keys, extra = kind.merged([_decode(r[2]) for r in held], [_extra(r) for r in held])
+                place = kind.hashes(keys) // U(routes) % U(groups) * U(routes) + U(held[0][0] % routes)
+                yield _send(held[0][0], keys, place, extra)
+
+        def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for held in _groups(batches):
+                back = [_decode(r[2]) for r in held if r[1] is None]
+                chunks = [r for r in held if r[1] is not None]
+                hit = np.sort(np.concatenate(back)) if back else np.empty(0, np.uint64)
+                found = kind.shared([_decode(r[2]) for r in chunks], [_extra(r) for r in chunks], hit)
+                out = [(r[1], _encode(f)) for r, f in zip(chunks, found) if len(f)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary()))], names=["chunk", "hashes"])
+
+        own = cells.select("cell", "chunk", "hashes", "extra")
+        up = _together(own, "cell").sortWithinPartitions("cell").mapInArrow(merge, SENT)
+        down = _answers(up, kind.hits).select(F.col("chunk").alias("cell"), F.lit(None).cast("bigint").alias("chunk"), "hashes", F.lit(None).cast("binary").alias("extra"))
+        found = _together(own.unionByName(down), "cell").sortWithinPartitions("cell").mapInArrow(share, "chunk bigint, hashes binary")
+    return found.groupBy("chunk").agg(F.collect_list("hashes").alias("answers"))
+
+
+def _routes(buckets: int) -> int:
+    return min(buckets, FAN)
+
+
+def _send(sender: int, keys: np.ndarray, place: np.ndarray, extra: np.ndarray | None) -> pa.RecordBatch:
+    """Sorted keys, a row for each place that has any."""
+    order = np.argsort(place, kind="stable")
+    sorted_place = place[order]
+    cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], sorted_place[1:] != sorted_place[:-1]))), [len(keys)])) if len(keys) else np.zeros(1, int)
     out = []
-    for b in range(buckets):
-        part = order[cuts[b] : cuts[b + 1]]
-        if len(part):
-            out.append((b, chunk, _encode(keys[part]), None if extra is None else zstandard.compress(extra[part].astype("<i8").tobytes(), 1)))
+    for a, b in zip(cuts, cuts[1:]):
+        part = order[a:b]
+        out.append((int(sorted_place[a]), sender, _encode(keys[part]), None if extra is None else zstandard.compress(extra[part].astype("<i8").tobytes(), 1)))
     types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, types)], names=["bucket", "chunk", "hashes", "extra"])
 
@@ -185,7 +304,7 @@ def _send(chunk: int, keys: np.ndarray, buckets: int, extra: np.ndarray | None =
 SENT = "bucket bigint, chunk bigint, hashes binary, extra binary"
 
 
-def _probes(chunks: DataFrame, buckets: int, bits: int) -> DataFrame:
+def _probes(chunks: DataFrame, routes: int, bits: int) -> DataFrame:
     """Each chunk's distinct hashes of 7 words, with two flags: the chunk has it as a block; it has it more than once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,24 +316,12 @@ def _probes(chunks: DataFrame, buckets: int, bits: int) -> DataFrame:
                 key, place, n = np.unique(h >> U(64 - bits), return_inverse=True, return_counts=True)
                 block = np.zeros(len(key), bool)
                 block[place[aligned]] = True
-                yield _send(number, key << U(2) | block.astype(np.uint64) << U(1) | (n > 1).astype(np.uint64), buckets)
+                yield _send(number, key << U(2) | block.astype(np.uint64) << U(1) | (n > 1).astype(np.uint64), key % U(routes), None)
 
     return chunks.select("chunk", "ids", "body").mapInArrow(rows, SENT)
 
 
-def _anchors(chunks: list[int], keys: list[np.ndarray], _: list) -> list[np.ndarray]:
-    """Of each chunk, the hashes that are some text's block and occur at two places or more."""
-    every = np.concatenate(keys)
-    value, place = np.unique(every >> U(2), return_inverse=True)
-    times = np.bincount(place, 1 + (every & U(1)).astype(np.int64), len(value))
-    block = np.zeros(len(value), bool)
-    block[place[(every & U(2)) > 0]] = True
-    hit = (block & (times > 1))[place]
-    ends = np.cumsum([len(k) for k in keys])
-    return [k[hit[e - len(k) : e]] >> U(2) for k, e in zip(keys, ends)]
-
-
-def _candidates(joined: DataFrame, buckets: int, bits: int) -> DataFrame:
+def _candidates(joined: DataFrame, routes: int, bits: int) -> DataFrame:
     """Each chunk's distinct hashes of the 13-word windows that hold an anchor, with the least doc_id of each."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +339,7 @@ def _candidates(joined: DataFrame, buckets: int, bits: int) -> DataFrame:
                 order = np.lexsort((owner, h))
                 h, owner = h[order], owner[order]
                 first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
-                yield _send(number, h[first], buckets, owner[first])
+                yield _send(number, h[first], h[first] % U(routes), owner[first])
 
     return joined.select("chunk", "ids", "body", "answers").mapInArrow(rows, SENT)
 
@@ -244,17 +351,6 @@ def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def _earlier(chunks: list[int], keys: list[np.ndarray], owners: list[np.ndarray]) -> list[np.ndarray]:
-    """Of each chunk, the windows that a document of another chunk with a smaller doc_id than any of its own has too."""
-    every, owner = np.concatenate(keys), np.concatenate(owners)
-    value, place = np.unique(every, return_inverse=True)
-    least = np.full(len(value), LAST)
-    np.minimum.at(least, place, owner)
-    hit = owner > least[place]
-    ends = np.cumsum([len(k) for k in keys])
-    return [k[hit[e - len(k) : e]] for k, e in zip(keys, ends)]
-
-
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, removed string, kept string"
 
 
@@ -316,8 +412,9 @@ def remove_repeats(docs: DataFrame, whole: bool = True, chunk_bytes: int = CHUNK
     words = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     buckets = parts * max(1, -(-words // (bucket_words * parts)))
     bits = min(62, max(ANCHOR_BITS, words.bit_length() + 10))
-    anchors = materialize(_exchange(_probes(chunks, buckets, bits), _anchors), "anchors")
-    hits = materialize(_exchange(_candidates(chunks.hint("merge").join(anchors, "chunk"), buckets, bits), _earlier), "hits")
+    routes = _routes(buckets)
+    anchors = materialize(_exchange(_probes(chunks, routes, bits), buckets, Probes), "anchors")
+    hits = materialize(_exchange(_candidates(chunks.hint("merge").join(anchors, "chunk"), routes, bits), buckets, Owners), "hits")
     return _cut(chunks.hint("merge").join(hits, "chunk", "left"), whole)
 
 

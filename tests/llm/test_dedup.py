@@ -262,8 +262,9 @@ def test_substring_dedup(spark, docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_substring_dedup_over_many_chunks(spark, seed):
+@pytest.mark.parametrize("seed, fan", [(1, 2048), (2, 2048), (1, 8), (3, 12)])
+def test_substring_dedup_over_many_chunks(spark, seed, fan, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "FAN", fan)
     draw = random.Random(seed)
     passages = [[f"p{k}w{i}" for i in range(draw.randint(8, 40))] for k in range(20)]
     rows = []
@@ -279,6 +280,25 @@ def test_substring_dedup_over_many_chunks(spark, seed):
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"], r["kept"]) for r in got) == removed(rows)
 
 
+def test_rows_that_a_chunk_sends_are_bounded(spark, monkeypatch):
+    """More buckets than routes: a chunk and a cell send no more rows than there are routes and groups."""
+    draw = random.Random(7)
+    rows = [(i, " ".join(f"w{draw.randrange(500)}" for _ in range(300)), "en", "s", 0) for i in range(60)]
+    chunks = substring_dedup.pack_chunks(spark.createDataFrame(rows, DOCS).repartition(4), 2000)
+    for fan in (8, 64):
+        sent = substring_dedup._probes(chunks, fan, 40)
+        assert sent.groupBy("chunk").count().agg(F.max("count")).first()[0] <= fan
+        assert sent.agg(F.max("bucket")).first()[0] < fan
+
+
+def test_substring_dedup_of_a_very_long_text(spark):
+    draw = random.Random(8)
+    long = [f"w{draw.randrange(10**9)}" for _ in range(400_000)]
+    rows = [(1, " ".join(long), "en", "s", 0), (2, " ".join(long[1000:1100] + ["x"] * 20 + long[399_000:]), "en", "s", 0), (3, "short", "en", "s", 0)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"], r["kept"]) for r in got) == removed(rows)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_oracles(spark, sf_dir, name):
     import duckdb
