@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexmill.functions.binding import let
+
 
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
@@ -67,8 +69,13 @@ def rotat_e(h: Column, phase: Column, t: Column) -> Column:
 
 
 def clamped(v: Column) -> Column:
-    """v, scaled to length 1 if it is longer."""
-    return F.transform(v, lambda x: x / F.greatest(norm(v), F.lit(1.0)))
+    """v with coordinates from -1 to 1, then scaled to length 1 if it is longer."""
+    inside = F.transform(v, lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
+
+    def scaled(w: Column) -> Column:
+        return let(F.greatest(norm(w), F.lit(1.0)), lambda length: F.transform(w, lambda x: x / length))
+
+    return let(inside, scaled)
 
 
 def mean_pool(rows: Column, width: int) -> Column:

@@ -55,6 +55,13 @@ def substituted(texts: DataFrame, key: list[str], column: str, kind: str, nodes:
     return rows.groupBy(*key).agg(F.array_join(F.transform(listed, lambda e: e["t"]), "").alias(column))
 
 
+def required(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of table by key; a key that the table lacks is an error, raised when the row is read."""
+    found = rows.join(table.withColumn("_found", F.lit(True)), key, "left")
+    known = F.when(F.col("_found"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("no entry for "), F.col(key).cast("string"))).cast(rows.schema[key].dataType))
+    return found.withColumn(key, known).drop("_found")
+
+
 def parent_labels(sentences: DataFrame, parents: DataFrame) -> DataFrame:
     """The clustering set: each sentence's text with its parent's label, those without parent dropped."""
     return sentences.join(parents.select(F.col("id").alias("parent"), F.col("label").alias("parent_label")), "parent", "left").filter("parent_label IS NOT NULL").select("text", F.col("parent_label").alias("label"))

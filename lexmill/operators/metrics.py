@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from lexmill.functions import text as X
 from lexmill.functions.binding import let
-from lexmill.operators.order import bounded_broadcast
+from lexmill.operators.order import pairs
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -123,7 +123,7 @@ def cluster_separation(vectors: DataFrame) -> DataFrame:
     # The only side that is crossed has a row for each label.
     gap = F.sqrt(F.aggregate(F.zip_with("v", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     labels = packed.select(F.col("label").alias("other"), "centre")
-    distances = vectors.crossJoin(bounded_broadcast(labels)).select("id", "label", "other", gap.alias("d"))
+    distances = pairs(vectors, labels).select("id", "label", "other", gap.alias("d"))
     each = distances.groupBy("id", "label").agg(F.max(F.when(F.col("label") == F.col("other"), F.col("d"))).alias("own"), F.min(F.when(F.col("label") != F.col("other"), F.col("d"))).alias("near"))
     score = F.try_divide(F.col("near") - F.col("own"), F.greatest("near", "own"))
     return each.groupBy("label").agg(
@@ -250,3 +250,15 @@ def tfidf_cosine(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return pairs.select(key).join(sums, key, "left").select(key, F.round(F.coalesce(F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))), F.lit(0.0)), 9).alias("cosine"))
 
 
+
+
+def percentile(rows: DataFrame, column: str, share: float, ties: list[str]) -> DataFrame:
+    """value: the percentile of a column, between two neighbours in proportion; found by place in a range-partitioned sort. ties tell rows of one value apart."""
+    from lexmill.operators.order import global_index
+
+    rows = rows.filter(F.col(column).isNotNull())
+    placed = global_index(rows, [F.col(column), *map(F.col, ties)], "_place")
+    at = rows.agg(((F.count("*") - 1) * F.lit(share)).alias("_at"))
+    near = placed.crossJoin(F.broadcast(at)).filter((F.col("_place") == F.floor("_at")) | (F.col("_place") == F.ceil("_at")))
+    low, high = F.min(column), F.max(column)
+    return near.agg((low + (high - low) * (F.max("_at") - F.floor(F.max("_at")))).alias("value"))

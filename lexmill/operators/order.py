@@ -12,6 +12,12 @@ from lexmill.session import checkpointed
 BROADCAST_ROWS = 100_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to as many tasks as the session shuffles to, if its scan has fewer: for narrow rows that a costly expression is taken of."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
+
+
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; beyond that the join is left to the optimizer."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -33,17 +39,31 @@ def global_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + local).drop("_row", "_part", "_start")
 
 
-def neighbours(df: DataFrame, order: list[Column], columns: list[str], steps: int = 1, group: str | None = None) -> DataFrame:
-    """df with next_<column> from the row `steps` later in this order; within a group if one is named."""
-    if group is not None:
-        window = Window.partitionBy(group).orderBy(*order)
-        return df.select("*", *[F.lead(c, steps).over(window).alias(f"next_{c}") for c in columns])
-    placed = global_index(df, order, "_place")
-    later = placed.select((F.col("_place") - steps).alias("_place"), *[F.col(c).alias(f"next_{c}") for c in columns])
-    return placed.join(later, "_place", "left").drop("_place")
-
-
 def best_per(df: DataFrame, group: list[str], metric: str, order: str) -> DataFrame:
     """The row with the greatest metric of each group, the first in order of equals; rows without metric come last."""
-    window = Window.partitionBy(*group).orderBy(F.col(metric).desc_nulls_last(), order)
-    return df.withColumn("_rn", F.row_number().over(window)).filter("_rn = 1").drop("_rn")
+    place = F.struct(F.col(metric).isNull(), -F.col(metric), F.col(order))
+    return df.groupBy(*group).agg(F.min_by(F.struct(*df.columns), place).alias("_best")).select("_best.*")
+
+
+def within_group(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """df with a number from 0 in this order within each group: a group may hold any share of the rows, as places are global ones less the group's first."""
+    placed = global_index(df, [F.col(group), *order], "_place")
+    first = placed.groupBy(group).agg(F.min("_place").alias("_first"))
+    return placed.join(bounded_broadcast(first), group).withColumn(name, F.col("_place") - F.col("_first")).drop("_place", "_first")
+
+
+def pairs(many: DataFrame, few: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """All pairs of a table and a stated query set or library. few is broadcast if it has at most so many rows.
+
+    Beyond that both are cut into blocks of about that many rows, every block of one meets every block of the other in a join on
+    their numbers, and no task holds more than two blocks.
+    """
+    size = few.limit(rows + 1).count()
+    if size <= rows:
+        return many.crossJoin(F.broadcast(few))
+    across, down = (-(-df.count() // rows) for df in (few, many))
+    block = lambda n: F.floor(F.rand(17) * n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = many.withColumn("_d", block(down)).withColumn("_a", each(across))
+    right = few.withColumn("_a", block(across)).withColumn("_d", each(down))
+    return left.join(right.hint("merge"), ["_a", "_d"]).drop("_a", "_d")

@@ -70,6 +70,30 @@ def rolling_mean(rows: DataFrame, group: list[str], order: str, value: str, wind
     return rows.withColumn("rolling", F.round(F.avg(value).over(back), 6))
 
 
+def adaptive_mean(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """rows with rolling, the mean of the last w values, and full_window, whether there are so many: w is a tenth of the group's rows, from 1 to 50.
+
+    Rows without a full window are those that a valid-only mean leaves out.
+    """
+    from pyspark.sql import Window
+
+    whole, back = Window.partitionBy(group), Window.partitionBy(group).orderBy(order)
+    width = F.least(F.lit(50), F.greatest(F.lit(1), F.floor(F.count("*").over(whole) / 10)))
+    rows = rows.withColumn("_w", width).withColumn("_n", F.row_number().over(back)).withColumn("_last", F.collect_list(value).over(back.rowsBetween(-49, Window.currentRow)))
+    held = F.slice("_last", F.greatest(F.lit(1), F.size("_last") - F.col("_w") + 1).cast("int"), F.col("_w").cast("int"))
+    mean = F.try_divide(F.aggregate(held, F.lit(0.0), lambda a, x: a + x), F.size(held))
+    return rows.withColumn("rolling", F.round(mean, 6)).withColumn("full_window", F.col("_n") >= F.col("_w")).drop("_w", "_n", "_last")
+
+
+def seed_average(seeds: DataFrame, top: int, filter_outliers: bool = True) -> DataFrame:
+    """Mean dev and test of each model's seeds; with filter_outliers, of the `top` best by dev alone."""
+    from pyspark.sql import Window
+
+    if filter_outliers:
+        seeds = seeds.withColumn("_rn", F.row_number().over(Window.partitionBy("model").orderBy(F.desc("dev"), "seed"))).filter(F.col("_rn") <= top)
+    return seeds.groupBy("model").agg(F.round(F.avg("dev"), 6).alias("dev"), F.round(F.avg("test"), 6).alias("test"), F.count("*").alias("n"))
+
+
 def appended(existing: DataFrame, new: DataFrame) -> DataFrame:
     """A ledger with new rows: columns of both by name."""
     return existing.unionByName(new, allowMissingColumns=True)

@@ -64,13 +64,14 @@ def balanced(df: DataFrame, label: str, order: str) -> DataFrame:
 def hash_pick(rows: DataFrame, candidates: DataFrame, row_key: str, candidate_key: str, differs: Column, seed: int) -> DataFrame:
     """For each row one candidate for which `differs` holds: the candidates are numbered once, and a row's hash names a place among them.
 
-    If the candidate there does not differ, the next places are tried, as many as there are equal candidates at most; as
-    candidates are distinct values, one step is enough.
+    If the candidate there does not differ, the next place is tried; candidates are distinct values, so one step is enough.
+    Rows without any other candidate are an error, raised when they are read.
     """
     pool = numbered(candidates, [F.col(candidate_key)], "_slot")
     size = candidates.agg(F.count("*").alias("_n"))
     at = F.conv(F.substring(draw(seed, F.col(row_key)), 1, 8), 16, 10).cast("bigint")
-    placed = rows.crossJoin(F.broadcast(size)).withColumn("_at", F.pmod(at, F.greatest(F.col("_n"), F.lit(1))))
+    enough = F.when(F.col("_n") < 2, F.raise_error(F.lit("there is no other candidate to draw")).cast("bigint")).otherwise(F.col("_n"))
+    placed = rows.crossJoin(F.broadcast(size)).withColumn("_n", enough).withColumn("_at", F.pmod(at, F.greatest(F.col("_n"), F.lit(1))))
     tries = placed.withColumn("_try", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_slot", F.pmod(F.col("_at") + F.col("_try"), F.greatest(F.col("_n"), F.lit(1))))
     hit = tries.join(pool, "_slot").filter(differs)
     first = Window.partitionBy(row_key).orderBy("_try")

@@ -8,6 +8,7 @@ from lexmill.functions import citations as C
 from lexmill.functions import text as X
 from lexmill.operators import graph as G
 from lexmill.operators.boundary import memoised_apply
+from lexmill.operators.order import spread
 
 from .base import clean, edges, exam, nodes, query
 
@@ -18,23 +19,55 @@ def _s(name: str):
     return F.col(name).cast("string")
 
 
-@query(
-    "s01_tag_signs",
-    "SELECT l_orderkey, l_linenumber, 'Nach Zeichen ' || array_to_string(list_transform(range(l_partkey, l_partkey + 3), lambda i: '<sign>' || i || '</sign>'), ', ') || ', <sign>' || l_suppkey || '.' || l_linenumber || '</sign> gilt Zeichen <sign>7</sign>.' AS tagged FROM lineitem",
-)
+def _lines(t, *columns: str):
+    """Line items by key with some of their columns, spread over all tasks: what is tagged is made of them."""
+    return spread(t.lineitem.select("l_orderkey", "l_linenumber", *columns))
+
+
+#: Kinds of sentences, by l_orderkey % 6.
+_SIGNS = """CASE l_orderkey % 6
+  WHEN 0 THEN 'Nach Zeichen ' || array_to_string(list_transform(range(l_partkey, l_partkey + 3), lambda i: '<sign>' || i || '</sign>'), ', ') || ', <sign>' || l_suppkey || '.' || l_linenumber || '</sign> gilt Zeichen <sign>7</sign>.'
+  WHEN 1 THEN 'Zeichen <sign>' || l_partkey || '</sign>, <sign>' || l_suppkey || '</sign>, <sign>7.1</sign>; Zeichen <sign>1</sign>'
+  WHEN 2 THEN 'Das Zeichen  gilt'
+  WHEN 3 THEN 'Zeichenkette ' || l_partkey || ', Verkehrszeichen ' || l_suppkey || ' und Zeichen'
+  WHEN 4 THEN 'Zeichen <sign>' || l_partkey || '</sign>a'
+  ELSE 'Zeichen <sign>1</sign>, <sign>2</sign>, <sign>' || l_suppkey || '</sign> und' END"""
+
+
+@query("s01_tag_signs", f"SELECT l_orderkey, l_linenumber, {_SIGNS} AS tagged FROM lineitem")
 def _(t):
-    text = F.concat(L("Nach Zeichen "), _s("l_partkey"), L(" bis "), (F.col("l_partkey") + 2).cast("string"), L(" und "), _s("l_suppkey"), L("."), _s("l_linenumber"), L(" gilt zeichen 7."))
-    return t.lineitem.select("l_orderkey", "l_linenumber", C.tag_signs(text).alias("tagged"))
+    part, supp, line, k = _s("l_partkey"), _s("l_suppkey"), _s("l_linenumber"), F.col("l_orderkey") % 6
+    text = (
+        F.when(k == 0, F.concat(L("Nach Zeichen "), part, L(" bis "), (F.col("l_partkey") + 2).cast("string"), L(" und "), supp, L("."), line, L(" gilt zeichen 7.")))
+        .when(k == 1, F.concat(L("Zeichen "), part, L(", "), supp, L(" oder 7.1; ZEICHEN 1")))
+        .when(k == 2, "Das Zeichen 9 bis 3 gilt")
+        .when(k == 3, F.concat(L("Zeichenkette "), part, L(", Verkehrszeichen "), supp, L(" und Zeichen")))
+        .when(k == 4, F.concat(L("Zeichen "), part, L("a")))
+        .otherwise(F.concat(L("Zeichen 1 bis 2 oder "), supp, L(" und")))
+    )
+    return _lines(t, "l_partkey", "l_suppkey").select("l_orderkey", "l_linenumber", C.tag_signs(text).alias("tagged"))
 
 
-@query(
-    "s02_tag_paragraphs",
-    """SELECT l_orderkey, l_linenumber, 'gemäß <par>§ ' || l_suppkey || 'a</par>  Absatz <sen>' || l_linenumber || '</sen>, nach <par>§ 3</par> Absatz <sen>2</sen> und <par>'
-      || array_to_string(list_transform(range(l_suppkey, l_suppkey + 3), lambda i: '<par>§ ' || i || '</par>'), ', ') || '</par>; Absatz <sen>1</sen>, <sen>2</sen>, <sen>3</sen> §<par>§ 2</par> und 3' AS tagged FROM lineitem""",
-)
+_PARAGRAPHS = """CASE l_orderkey % 5
+  WHEN 0 THEN 'gemäß <par>§ ' || l_suppkey || 'a</par>  Absatz <sen>' || l_linenumber || '</sen>, nach <par>§ 3</par> Absatz <sen>2</sen> und <par>'
+      || array_to_string(list_transform(range(l_suppkey, l_suppkey + 3), lambda i: '<par>§ ' || i || '</par>'), ', ') || '</par>; Absatz <sen>1</sen>, <sen>2</sen>, <sen>3</sen> §<par>§ 2</par> und 3'
+  WHEN 1 THEN '<par>§ 3</par> Absatz <sen>' || l_linenumber || '</sen> Satz 1'
+  WHEN 2 THEN '<par>§ ' || l_suppkey || '</par> Absatz <sen>1</sen>, <sen>2</sen>, <par>§ ' || l_partkey || 'b</par> Nummer 4'
+  WHEN 3 THEN '<par></par> Absatz ' || ' ohne §'
+  ELSE '<par>§ 7</par> nach <par>§ 7</par>  Absatz <sen>' || l_linenumber || 'a</sen> und <par>§ 3</par> Absatz <sen>9</sen>' END"""
+
+
+@query("s02_tag_paragraphs", f"SELECT l_orderkey, l_linenumber, {_PARAGRAPHS} AS tagged FROM lineitem")
 def _(t):
-    text = F.concat(L("gemäß § "), _s("l_suppkey"), L("a Absatz "), _s("l_linenumber"), L(", nach Absatz 2 und §§ "), _s("l_suppkey"), L(" bis "), (F.col("l_suppkey") + 2).cast("string"), L("; Absatz 1 bis 3 §§ 2 und 3"))
-    return t.lineitem.select("l_orderkey", "l_linenumber", C.tag_paragraphs(text, L("§ 3")).alias("tagged"))
+    part, supp, line, k = _s("l_partkey"), _s("l_suppkey"), _s("l_linenumber"), F.col("l_orderkey") % 5
+    text = (
+        F.when(k == 0, F.concat(L("gemäß § "), supp, L("a Absatz "), line, L(", nach Absatz 2 und §§ "), supp, L(" bis "), (F.col("l_suppkey") + 2).cast("string"), L("; Absatz 1 bis 3 §§ 2 und 3")))
+        .when(k == 1, F.concat(L("Absatz "), line, L(" Satz 1")))
+        .when(k == 2, F.concat(L("§ "), supp, L(" Absatz 1 bis 2, §"), part, L("b Nummer 4")))
+        .when(k == 3, "§§ 9 bis 4 Absatz  ohne §")
+        .otherwise(F.concat(L("§ 7 nach § 7 Absatz "), line, L("a und Absatz 9")))
+    )
+    return _lines(t, "l_partkey", "l_suppkey").select("l_orderkey", "l_linenumber", C.tag_paragraphs(text, L("§ 3")).alias("tagged"))
 
 
 @query("s03_tag_tables", "SELECT p_partkey, array_to_string(list_transform(range(p_size, p_size + 2), lambda i: 'Anlage <tab>' || i || '</tab>'), ', ') || ' Abschnitt <sec>' || p_partkey || '</sec>, Anlage <tab>9</tab>' AS tagged FROM part")
@@ -58,7 +91,7 @@ def _tagged():
     """SELECT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) AS signs, CASE WHEN l_suppkey = 5 THEN '' ELSE '§ ' || l_suppkey END AS standalone, '§ 5>' || l_linenumber AS sentence_pairs, '1>2' AS section_pairs, '3' AS standalone_tables FROM lineitem""",
 )
 def _(t):
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", C.tag_report(_tagged()).alias("r"))
+    rows = _lines(t, "l_suppkey", "l_partkey").select("l_orderkey", "l_linenumber", C.tag_report(_tagged()).alias("r"))
     pairs = lambda c: F.array_join(F.transform(c, lambda p: F.concat_ws(">", p["parent"], p["child"])), "|")
     joined = lambda c: F.array_join(c, ",")
     return rows.select(
@@ -67,10 +100,20 @@ def _(t):
     )
 
 
-@query("w05_reset_scan", "SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey = 7 THEN '§ 7>3' ELSE '§ 7>1|§ ' || l_suppkey || '>3' END AS pairs FROM lineitem")
+@query(
+    "w05_reset_scan",
+    """SELECT l_orderkey, l_linenumber, CASE l_orderkey % 4 WHEN 0 THEN CASE WHEN l_suppkey = 7 THEN '§ 7>3' ELSE '§ 7>1|§ ' || l_suppkey || '>3' END
+      WHEN 1 THEN '§ 9>2|§ 7>5|§ 7>6' WHEN 2 THEN '' ELSE '§ 7>1|§ 7>1|§ 7>' || l_linenumber END AS pairs FROM lineitem""",
+)
 def _(t):
-    text = F.concat(L("<sen>0</sen><par>§ 7</par><sen>1</sen><par>§ "), _s("l_suppkey"), L("</par><sen>3</sen>"))
-    return t.lineitem.select("l_orderkey", "l_linenumber", F.array_join(F.transform(C.reset_pairs(text, "par", "sen"), lambda p: F.concat_ws(">", p["parent"], p["child"])), "|").alias("pairs"))
+    k = F.col("l_orderkey") % 4
+    text = (
+        F.when(k == 0, F.concat(L("<sen>0</sen><par>§ 7</par><sen>1</sen><par>§ "), _s("l_suppkey"), L("</par><sen>3</sen>")))
+        .when(k == 1, "<par>§ 7</par><sen>1</sen><par>§ 9</par><sen>2</sen><par>§ 7</par><sen>5</sen><sen>6</sen>")
+        .when(k == 2, "<sen>1</sen><par>§ 7</par> und <par>§ 8a</par>")
+        .otherwise(F.concat(L("<par>§ 7</par><sen>1</sen><par>§ 8a</par><sen>1</sen><sen>"), _s("l_linenumber"), L("</sen>")))
+    )
+    return _lines(t, "l_suppkey").select("l_orderkey", "l_linenumber", F.array_join(F.transform(C.reset_pairs(text, "par", "sen"), lambda p: F.concat_ws(">", p["parent"], p["child"])), "|").alias("pairs"))
 
 
 @query("s06_images", "SELECT p_partkey, 'a' || p_size || '.png' AS images, p_name || ' end' AS rest FROM part")
@@ -131,17 +174,25 @@ def _(t):
 
     from .base import vectors
 
-    a, b = vectors(t).select(F.col("id").alias("anchor"), F.col("v").alias("va")), vectors(t).select(F.col("id").alias("positive"), F.col("v").alias("vb"))
-    return a.join(b, F.col("positive") == F.col("anchor") + 1).select("anchor", "positive", F.round(V.dot(F.col("va"), F.col("vb")), 6).alias("dot"))
+    a = vectors(t).select(F.col("id").alias("anchor"), F.col("v").alias("va"), (F.col("id") + 1).alias("positive"))
+    last = vectors(t).agg(F.max("id").alias("last"))  # the one anchor that has no successor
+    rows = G.required(a.crossJoin(F.broadcast(last)).filter("anchor <> last"), vectors(t).select(F.col("id").alias("positive"), F.col("v").alias("vb")), "positive")
+    return rows.select("anchor", "positive", F.round(V.dot(F.col("va"), F.col("vb")), 6).alias("dot"))
 
 
-@query("j11_split_disjoint", "SELECT 0 AS shared")
+@query(
+    "j11_split_disjoint",
+    """SELECT paragraph_id, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'test') AS test, false AS shared FROM clean JOIN
+      (SELECT paragraph_id, CASE WHEN row_number() OVER (ORDER BY md5('42|' || paragraph_id), paragraph_id) - 1 < floor(count(*) OVER () * 0.84) THEN 'train' ELSE 'test' END AS split FROM (SELECT DISTINCT paragraph_id FROM clean))
+      USING (paragraph_id) GROUP BY paragraph_id""",
+    ("qa", "clean"),
+)
 def _(t):
     from lexmill.operators.sampling import group_split
 
     parts = group_split(clean(t), "paragraph_id", 42, 0.16)
-    both = parts.filter("split = 'train'").select("paragraph_id").intersect(parts.filter("split = 'test'").select("paragraph_id"))
-    return both.agg(F.count("*").cast("int").alias("shared"))
+    rows = parts.groupBy("paragraph_id").agg(F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "test").alias("test"))
+    return rows.withColumn("shared", (F.col("train") > 0) & (F.col("test") > 0))
 
 
 @query("j12_missing_images", "SELECT qid, 'img' || qid AS stem FROM exam WHERE image IS NOT NULL AND 'img' || qid NOT IN (SELECT 'img' || p_size FROM part)", ("exam",))

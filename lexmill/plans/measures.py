@@ -8,7 +8,7 @@ from lexmill.functions import text as X
 from lexmill.operators import metrics as M
 from lexmill.operators import reports as R
 from lexmill.operators import sequences as S
-from lexmill.operators.order import best_per
+from lexmill.operators.order import best_per, global_index, within_group
 from lexmill.operators.sampling import fold
 
 from .base import CTE, ORACLES, clean, ledger, parsed, predictions, qa, query, sides, vectors
@@ -32,12 +32,10 @@ def _(t):
 
 @query("a03_score_summary", "SELECT round(avg(quality_score), 6) AS mean, min(quality_score) AS least, max(quality_score) AS most, list_sort(list(quality_score))[count(*) // 2 + 1] AS upper_median FROM qa", ("qa",))
 def _(t):
-    # The upper median is the value at rank n div 2: found from counts by value, not from a list of all values.
-    from pyspark.sql import Window
-
-    scores = qa(t).groupBy("quality_score").agg(F.count("*").alias("c"))
-    reached = scores.select("quality_score", F.sum("c").over(Window.orderBy("quality_score")).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
-    median = reached.filter(F.col("upto") > F.floor(F.col("n") / 2)).agg(F.min("quality_score").alias("upper_median"))
+    # The upper median is the value at place n div 2 of a range-partitioned sort.
+    scores = qa(t).select("quality_score", "ord").filter("quality_score IS NOT NULL")
+    total = scores.agg(F.floor(F.count("*") / 2).alias("_half"))
+    median = global_index(scores, [F.col("quality_score"), F.col("ord")], "_place").crossJoin(F.broadcast(total)).filter("_place = _half").agg(F.min("quality_score").alias("upper_median"))
     return qa(t).agg(F.round(F.avg("quality_score"), 6).alias("mean"), F.min("quality_score").alias("least"), F.max("quality_score").alias("most")).crossJoin(F.broadcast(median))
 
 
@@ -181,6 +179,12 @@ def _(t):
     return parsed(t).groupBy("base").pivot("setting", list(_SETTINGS)).agg(F.round(F.avg("f1_macro"), 6))
 
 
+@query("a18_weight_pivot", "SELECT clu, " + ", ".join(f'round(avg(f1_macro) FILTER (cls = {c}), 6) AS "cls_{c}"' for c in (0.0, 0.5, 0.6)) + " FROM parsed WHERE clu IS NOT NULL GROUP BY clu", _LQ)
+def _(t):
+    rows = parsed(t).filter("clu IS NOT NULL").groupBy("clu").pivot("cls", [0.0, 0.5, 0.6]).agg(F.round(F.avg("f1_macro"), 6))
+    return rows.select("clu", *[F.col(f"`{c}`").alias(f"cls_{c}") for c in (0.0, 0.5, 0.6)])
+
+
 @query("a19_mean_std", "SELECT setting, round(avg(f1_macro), 4) AS f1_mean, round(stddev_samp(f1_macro), 4) AS f1_std, round(avg(accuracy), 4) AS acc_mean, round(stddev_samp(accuracy), 4) AS acc_std FROM ledger GROUP BY setting", ("ledger",))
 def _(t):
     return ledger(t).groupBy("setting").agg(*[F.round(f(c), 4).alias(n) for c, p in (("f1_macro", "f1"), ("accuracy", "acc")) for f, n in ((F.avg, f"{p}_mean"), (F.stddev_samp, f"{p}_std"))])
@@ -215,7 +219,8 @@ def _(t):
 
 @query("a22_percentile_threshold", "SELECT round(quantile_cont(l_extendedprice, 0.9), 6) AS p90 FROM lineitem WHERE l_returnflag = 'R'")
 def _(t):
-    return t.lineitem.filter("l_returnflag = 'R'").agg(F.round(F.percentile("l_extendedprice", 0.9), 6).alias("p90"))
+    rows = t.lineitem.filter("l_returnflag = 'R'").select("l_extendedprice", "l_orderkey", "l_linenumber")
+    return M.percentile(rows, "l_extendedprice", 0.9, ["l_orderkey", "l_linenumber"]).select(F.round("value", 6).alias("p90"))
 
 
 @query("a23_group_similarity", "SELECT round(avg(score) FILTER (y_true = 'yes'), 6) AS yes_mean, round(avg(score) FILTER (y_true = 'no'), 6) AS no_mean, round(abs(avg(score) FILTER (y_true = 'yes') - avg(score) FILTER (y_true = 'no')), 6) AS gap FROM pred", ("pred",))
@@ -294,6 +299,15 @@ def _(t):
     return top.groupBy("model").agg(F.round(F.avg("dev"), 6).alias("dev"), F.round(F.avg("test"), 6).alias("test"), F.count("*").alias("n"))
 
 
+_SEEDS = "SELECT setting AS model, ord % 5 AS seed, avg(f1_macro) AS dev, avg(accuracy) AS test FROM ledger GROUP BY 1, 2"
+
+
+@query("a31_seed_outliers", f"SELECT model, round(avg(dev), 6) AS dev, round(avg(test), 6) AS test, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY dev DESC, seed) AS rn FROM ({_SEEDS})) WHERE rn <= 3 GROUP BY model UNION ALL SELECT model || ' all', round(avg(dev), 6), round(avg(test), 6), count(*) FROM ({_SEEDS}) GROUP BY model", ("ledger",))
+def _(t):
+    seeds = ledger(t).groupBy(F.col("setting").alias("model"), (F.col("ord") % 5).alias("seed")).agg(F.avg("f1_macro").alias("dev"), F.avg("accuracy").alias("test"))
+    return R.seed_average(seeds, 3).unionByName(R.seed_average(seeds, 3, filter_outliers=False).withColumn("model", F.concat("model", L(" all"))))
+
+
 @query("a33_epoch_means", "SELECT event_id // 500 AS epoch, round(avg(value), 6) AS loss FROM events GROUP BY 1")
 def _(t):
     return t.events.groupBy(F.floor(F.col("event_id") / 500).alias("epoch")).agg(F.round(F.avg("value"), 6).alias("loss"))
@@ -305,9 +319,14 @@ def _(t):
     return t.labels.groupBy(F.when(k < 4, "train").when(k == 4, "val").otherwise("test").alias("split"), F.col("quality").alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("a35_approximate_distinct")
+@query("a35_approximate_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS close, true AS median_between FROM lineitem GROUP BY 1")
 def _(t):
-    return t.lineitem.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("median_quantity"))
+    # The approximations are held against exact figures: within a tenth, and between the quartiles.
+    rows = t.lineitem.groupBy("l_returnflag").agg(
+        F.count_distinct("l_partkey").alias("parts"), F.approx_count_distinct("l_partkey").alias("about"), F.percentile_approx("l_quantity", F.array(L(0.25), L(0.5), L(0.75))).alias("q"),
+        F.avg("l_quantity").alias("mean"),
+    )
+    return rows.select("l_returnflag", "parts", (F.abs(F.col("about") - F.col("parts")) <= 0.1 * F.col("parts")).alias("close"), F.col("mean").between(F.col("q")[0], F.col("q")[2]).alias("median_between"))
 
 
 @query("a36_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -328,6 +347,15 @@ def _(t):
     return R.rolling_mean(t.events.select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 5).drop("value")
 
 
+_WIDTH = "least(50, greatest(1, count(*) OVER (PARTITION BY user_id) // 10))"
+_LAST50 = "list(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)"
+
+
+@query("w02_adaptive_mean", f"SELECT user_id, event_id, round(list_avg(vs[greatest(1, len(vs) - width + 1):]), 6) AS rolling, rn >= width AS full_window FROM (SELECT user_id, event_id, {_LAST50} AS vs, {_WIDTH} AS width, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events)")
+def _(t):
+    return R.adaptive_mean(t.events.select("user_id", "event_id", "value"), "user_id", "event_id", "value").select("user_id", "event_id", "rolling", "full_window")
+
+
 @query("w04_best_row", "SELECT setting, ord, f1_macro FROM (SELECT *, row_number() OVER (PARTITION BY setting ORDER BY f1_macro DESC, ord) AS rn FROM ledger) WHERE rn = 1", ("ledger",))
 def _(t):
     return best_per(ledger(t), ["setting"], "f1_macro", "ord").select("setting", "ord", "f1_macro")
@@ -340,19 +368,32 @@ def _(t):
     return S.running_best(t.events.select("user_id", "event_id", "value"), "user_id", "event_id", "value").select("user_id", "event_id", "best", F.col("waited").cast("bigint").alias("waited"))
 
 
-@query("w11_ranks", "SELECT l_suppkey, sum(l_quantity) AS q, rank() OVER (ORDER BY sum(l_quantity) DESC) AS place FROM lineitem GROUP BY 1")
+_WAITED = """SELECT user_id, event_id, rn, rn - max(improved) OVER (PARTITION BY user_id ORDER BY event_id) AS waited FROM (SELECT *, CASE WHEN earlier IS NULL OR value < earlier THEN rn END AS improved FROM (
+    SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, min(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM events))"""
+
+
+@query("w10_patience_stop", f"SELECT user_id, event_id FROM (SELECT *, min(CASE WHEN waited >= 5 THEN rn END) OVER (PARTITION BY user_id) AS stop FROM ({_WAITED})) WHERE stop IS NULL OR rn <= stop")
 def _(t):
-    from pyspark.sql import Window
+    return S.until_patience(t.events.select("user_id", "event_id", "value"), "user_id", "event_id", "value", 5).select("user_id", "event_id")
+
 
-    # The window is over sums by supplier, a dimension, as a displayed ranking is.
-    return t.lineitem.groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q")).withColumn("place", F.rank().over(Window.orderBy(F.desc("q"))).cast("bigint"))
+@query("w10_plateau_rate", f"SELECT user_id, event_id, round(0.1 * pow(0.5, count(*) FILTER (waited > 0 AND waited % 4 = 0) OVER (PARTITION BY user_id ORDER BY event_id)), 9) AS rate FROM ({_WAITED})")
+def _(t):
+    return S.plateau_rate(t.events.select("user_id", "event_id", "value"), "user_id", "event_id", "value", 0.1, 0.5, 3).select("user_id", "event_id", F.round("rate", 9).alias("rate"))
 
 
-@query("w13_model_series", "SELECT setting, ord, row_number() OVER (PARTITION BY setting ORDER BY ts, ord) AS run FROM ledger", ("ledger",))
+@query("w11_ranks", "SELECT l_suppkey, sum(l_quantity) AS q, rank() OVER (ORDER BY sum(l_quantity) DESC) AS place FROM lineitem GROUP BY 1")
 def _(t):
-    from pyspark.sql import Window
+    # The rank of a sum is the first place among its equals in a range-partitioned sort.
+    sums = t.lineitem.groupBy("l_suppkey").agg(F.sum("l_quantity").alias("q"))
+    placed = global_index(sums, [F.desc("q"), F.col("l_suppkey")], "_place")
+    return placed.join(placed.groupBy("q").agg((F.min("_place") + 1).alias("place")), "q").select("l_suppkey", "q", "place")
 
-    return ledger(t).select("setting", "ord", F.row_number().over(Window.partitionBy("setting").orderBy("ts", "ord")).cast("bigint").alias("run"))
+
+@query("w13_model_series", "SELECT setting, ord, row_number() OVER (PARTITION BY setting ORDER BY ts, ord) AS run FROM ledger", ("ledger",))
+def _(t):
+    rows = within_group(ledger(t).select("setting", "ord", "ts"), "setting", [F.col("ts"), F.col("ord")], "_n")
+    return rows.select("setting", "ord", (F.col("_n") + 1).alias("run"))
 
 
 @query("t10_folds", "SELECT doc_id, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 5 AS fold FROM documents")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from lexmill.functions import quality as Q
 from lexmill.functions import text as X
 from lexmill.operators import qa as QA
+from lexmill.operators.order import spread
 
-from .base import CTE, ORACLES, clean, exam, ledger, parsed, predictions, qa, query, sides
+from .base import CTE, clean, exam, ledger, parsed, predictions, qa, query, sides
 
 L = F.lit
 
@@ -59,22 +60,10 @@ STAGES = f"""CASE WHEN question IS NULL OR answer IS NULL OR label IS NULL THEN
   WHEN CAST(len(list_intersect({_WORDS("trim(question)")}, {_WORDS("trim(answer)")})) AS DOUBLE) / greatest(len(list_distinct(list_concat({_WORDS("trim(question)")}, {_WORDS("trim(answer)")}))), 1) > 0.7 THEN 'repeats question'
   WHEN NOT ((language = 'de' AND {_HAS(_Q + " || ' ' || " + _A, Q.LEGAL_TERMS["de"])}) OR (language <> 'de' AND {_HAS(_Q + " || ' ' || " + _A, Q.LEGAL_TERMS["en"])})) THEN 'no legal term'
   WHEN {SCORE.replace("question", "regexp_replace(trim(question), '\\s+', ' ', 'g')").replace("(answer", "(regexp_replace(trim(answer), '\\s+', ' ', 'g')").replace("label IN", f"({_KNOWN}) IN")} < 0.6 THEN 'score' END"""
-CTE["cases"] = "cases AS (SELECT ord, question || CASE WHEN ord % 3 = 0 THEN ' The driver must stop.' ELSE '' END AS question, substr(answer, 1, 300) AS answer, CASE WHEN ord % 10 = 0 THEN 'maybe' ELSE label END AS label, sentence, language FROM clean)"
+CTE["cases"] = "cases AS (SELECT ord, question || CASE WHEN ord % 3 = 0 THEN ' The driver must stop.' ELSE '' END AS question, answer, CASE WHEN ord % 10 = 0 THEN 'maybe' ELSE label END AS label, sentence, language FROM clean)"
 
 
 @query("f02_six_stage_validator", f"SELECT ord, {STAGES} AS reject_reason FROM cases", ("qa", "clean", "cases"))
-def _(t):
-    c = F.col
-    more = F.when(c("ord") % 3 == 0, " The driver must stop.").otherwise("")
-    rows = clean(t).select("ord", F.concat("question", more).alias("question"), F.substring("answer", 1, 300).alias("answer"), F.when(c("ord") % 10 == 0, "maybe").otherwise(c("label")).alias("label"), "sentence", "language")
-    return rows.select("ord", Q.reject_reason(c("question"), c("answer"), c("label"), c("sentence"), c("language")).alias("reject_reason"))
-
-
-#: The same cases with the whole answer.
-CTE["whole_cases"] = CTE["cases"].replace("cases AS", "whole_cases AS").replace("substr(answer, 1, 300) AS answer", "answer")
-
-
-@query("f02_whole_answers", f"SELECT ord, {STAGES} AS reject_reason FROM whole_cases", ("qa", "clean", "whole_cases"))
 def _(t):
     c = F.col
     more = F.when(c("ord") % 3 == 0, " The driver must stop.").otherwise("")
@@ -167,12 +156,7 @@ def _(t):
     return exam(t).select("qid", F.coalesce(F.when(F.col("qid") % 3 != 0, F.col("question")), L("No question provided")).alias("question"), F.coalesce("image", L("none")).alias("image"))
 
 
-@query("f13_segments", "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1:3], '|') AS segments FROM documents")
-def _(t):
-    return t.documents.select("doc_id", F.array_join(F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, 3), "|").alias("segments"))
-
-
-@query("f13_ten_segments", ORACLES["f13_segments"].replace("[1:3]", "[1:10]"))
+@query("f13_segments", "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1:10], '|') AS segments FROM documents")
 def _(t):
     return t.documents.select("doc_id", F.array_join(F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, 10), "|").alias("segments"))
 
@@ -307,7 +291,7 @@ def _(t):
 def _(t):
     text = lambda c: F.col(c).cast("string")
     sentence = F.concat(L("nach § "), text("l_partkey"), L(" Abs. "), text("l_linenumber"), L(", auch §§ "), text("l_suppkey"), L("a; Ende"))
-    return t.lineitem.select("l_orderkey", "l_linenumber", F.array_join(X.statutory_references(sentence), "|").alias("refs"))
+    return spread(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).select("l_orderkey", "l_linenumber", F.array_join(X.statutory_references(sentence), "|").alias("refs"))
 
 
 @query("s27_file_names", "SELECT page_id, split_part(string_split(url, '/')[-1], '.', 1) AS stem, regexp_extract(url, '\\.([^./]+)$', 1) AS extension FROM pages")
@@ -320,12 +304,7 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", X.node_id(F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"))
 
 
-@query("s29_dot_quote", """SELECT page_id, '"' || replace(substr(html, 1, 80), '"', '\\"') || '"' AS quoted FROM pages""".replace("\\\\", "\\"))
-def _(t):
-    return t.pages.select("page_id", X.dot_quote(F.substring("html", 1, 80)).alias("quoted"))
-
-
-@query("s29_whole_html", ORACLES["s29_dot_quote"].replace("substr(html, 1, 80)", "html"))
+@query("s29_dot_quote", """SELECT page_id, '"' || replace(html, '"', '\\"') || '"' AS quoted FROM pages""".replace("\\\\", "\\"))
 def _(t):
     return t.pages.select("page_id", X.dot_quote(F.col("html")).alias("quoted"))
 

@@ -23,7 +23,15 @@ def _(t):
     return S.sentence_pairs(rows, 42).filter("label = 1").select("i", "text_a", "text_b", "label")
 
 
-@query("w01_negative_pairs")
+_PARTS = "SELECT row_number() OVER w - 1 AS i, p_name || p_partkey AS text, lead(p_name || p_partkey) OVER w AS next_text FROM part WINDOW w AS (ORDER BY p_brand, CAST(p_partkey AS VARCHAR), p_name)"
+
+
+@query(
+    "w01_negative_pairs",
+    f"""WITH both_texts AS ({_PARTS}), pool AS (SELECT text AS candidate, row_number() OVER (ORDER BY text) - 1 AS slot, count(*) OVER () AS n FROM (SELECT DISTINCT p_name || p_partkey AS text FROM part)),
+    placed AS (SELECT *, ('0x' || substr(md5('42|' || i), 1, 8))::BIGINT % (SELECT max(n) FROM pool) AS place FROM both_texts WHERE next_text IS NOT NULL)
+    SELECT i, text AS text_a, CASE WHEN a.candidate <> next_text THEN a.candidate ELSE b.candidate END AS text_b, 0 AS label FROM placed JOIN pool a ON a.slot = place JOIN pool b ON b.slot = (place + 1) % b.n""",
+)
 def _(t):
     rows = t.part.select(F.col("p_brand").alias("paragraph"), F.col("p_partkey").cast("string").alias("sen_id"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("text"))
     return S.sentence_pairs(rows, 42).filter("label = 0")
@@ -39,17 +47,25 @@ def _(t):
     return S.consecutive_groups(t.events.select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type").select("user_id", "event_id", F.col("group").cast("bigint").alias("grp"))
 
 
-@query("w07_greedy_chunks")
+_LINE_WORDS = r"len(list_filter(string_split(trim(regexp_replace(p, '\s+', ' ', 'g')), ' '), lambda w: w <> ''))"
+#: Recursion over the lines of a text: the chunk that a line falls into, and the words of that chunk so far.
+_CHUNKS = f"""WITH RECURSIVE parts AS (SELECT doc_id, i, p, {_LINE_WORDS} AS n FROM (SELECT doc_id, unnest(ls) AS p, generate_subscripts(ls, 1) AS i FROM
+  (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ls FROM documents))),
+step AS (SELECT doc_id, i, 0 AS chunk, n AS total FROM parts WHERE i = 1 UNION ALL
+  SELECT p.doc_id, p.i, CASE WHEN s.total + p.n <= 60 THEN s.chunk ELSE s.chunk + 1 END, CASE WHEN s.total + p.n <= 60 THEN s.total + p.n ELSE p.n END FROM step s JOIN parts p ON p.doc_id = s.doc_id AND p.i = s.i + 1)"""
+
+
+@query("w07_greedy_chunks", _CHUNKS + " SELECT s.doc_id, CAST(s.chunk AS INTEGER) AS i, string_agg(p.p, ' ' ORDER BY p.i) AS chunk FROM step s JOIN parts p ON p.doc_id = s.doc_id AND p.i = s.i GROUP BY s.doc_id, s.chunk")
 def _(t):
     return t.documents.select("doc_id", F.posexplode(S.greedy_chunks(F.filter(F.split("text", "\n"), lambda x: x != ""), 60)).alias("i", "chunk"))
 
 
-@query("w07_chunk_totals", r"SELECT doc_id, len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')) AS n_words, true AS within FROM documents")
+@query("w07_chunk_totals", _CHUNKS + " SELECT d.doc_id, count(DISTINCT s.chunk) AS chunks, coalesce(sum(p.n), 0)::BIGINT AS n_words, coalesce(max(s.total), 0)::BIGINT AS longest FROM documents d LEFT JOIN step s ON s.doc_id = d.doc_id LEFT JOIN parts p ON p.doc_id = s.doc_id AND p.i = s.i GROUP BY d.doc_id")
 def _(t):
     chunks = S.greedy_chunks(F.filter(F.split("text", "\n"), lambda x: x != ""), 60)
-    sizes = F.transform(chunks, lambda c: F.size(X.words(c)))
-    within = F.forall(chunks, lambda c: (F.size(X.words(c)) <= 60) | ~F.contains(c, L(" ")) | (F.size(F.split(c, "\n")) == 1))
-    return t.documents.select("doc_id", F.aggregate(sizes, L(0), lambda a, n: a + n).cast("bigint").alias("n_words"), within.alias("within"))
+    rows = t.documents.select("doc_id", F.transform(chunks, lambda c: F.size(X.words(c))).alias("sizes"))
+    total = F.aggregate("sizes", L(0), lambda a, n: a + n).cast("bigint")
+    return rows.select("doc_id", F.size("sizes").cast("bigint").alias("chunks"), total.alias("n_words"), F.coalesce(F.array_max("sizes"), L(0)).cast("bigint").alias("longest"))
 
 
 @query("w07_stride", r"SELECT doc_id, CAST(ceil(n / 16.0) AS BIGINT) AS chunks FROM (SELECT doc_id, len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')) AS n FROM documents)")
@@ -96,19 +112,10 @@ def _(t):
     return t.part.select("p_partkey", F.array_join(parts, "|").alias("segments"))
 
 
-@query("g02_padded_segments", "SELECT doc_id, 3 AS segments, 8 AS width FROM documents")
-def _(t):
-    from lexmill.functions.vectors import padded
-
-    lines = F.slice(F.concat(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), F.array_repeat(L(""), 3)), 1, 3)
-    ids = F.transform(lines, lambda s: padded(F.transform(X.words(s), F.length), 8, L(0))["ids"])
-    return t.documents.select("doc_id", F.size(ids).alias("segments"), F.array_max(F.transform(ids, F.size)).alias("width"))
-
-
 _REAL = r"flatten(list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1:64], lambda l: list_transform(list_filter(string_split(trim(regexp_replace(l, '\s+', ' ', 'g')), ' '), lambda w: w <> '')[1:128], lambda w: length(w))))"
 
 
-@query("g02_padded_documents", f"SELECT doc_id, 64 AS segments, 128 AS width, coalesce(list_sum({_REAL}), 0)::BIGINT AS id_sum, len({_REAL})::BIGINT AS mask_sum FROM documents")
+@query("g02_padded_segments", f"SELECT doc_id, 64 AS segments, 128 AS width, coalesce(list_sum({_REAL}), 0)::BIGINT AS id_sum, len({_REAL})::BIGINT AS mask_sum FROM documents")
 def _(t):
     from lexmill.functions.vectors import padded
 
@@ -135,9 +142,12 @@ def _(t):
     return ledger(t).select("ord", "f1_macro").orderBy(F.desc("f1_macro"), "ord").limit(10)
 
 
-@query("t03_early_stop", "SELECT 100 AS n")
+@query("t03_early_stop", "SELECT least(count(*), 100) AS n, (SELECT count(*) FROM qa) AS of_all, 0 AS foreign_rows FROM qa", ("qa",))
 def _(t):
-    return qa(t).limit(100).agg(F.count("*").cast("int").alias("n"))
+    # A producer stops after 100 records, whichever these are: so many come, and each of them is a record.
+    taken = qa(t).select("ord").limit(100)
+    strange = taken.join(qa(t).select("ord"), "ord", "left_anti").agg(F.count("*").cast("int").alias("foreign_rows"))
+    return taken.agg(F.count("*").alias("n")).crossJoin(qa(t).agg(F.count("*").alias("of_all"))).crossJoin(strange)
 
 
 @query("t04_shuffle", "SELECT ord, row_number() OVER (ORDER BY md5('42|' || ord), ord) AS place FROM clean", ("qa", "clean"))

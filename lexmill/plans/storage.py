@@ -55,7 +55,7 @@ def _(t):
     return R.parse_jsonl(_lines(t)).filter("_corrupt_record IS NULL").select("ord", "question", "label")
 
 
-@query("src06_jsonl_repaired")
+@query("src06_jsonl_repaired", "SELECT ord, label, quality_score FROM qa", ("qa",))
 def _(t):
     doubled = qa(t).select("ord", F.concat(F.to_json(F.struct("label", "quality_score")), F.when(F.col("ord") % 2 == 0, L(', {"label": "cut')).otherwise(L(""))).alias("value"))
     return doubled.select("ord", R.repaired(F.col("value")).alias("r")).select("ord", "r.label", "r.quality_score")
@@ -165,7 +165,7 @@ def _(t):
     return clean(t).agg(F.to_json(F.struct(F.count("*").alias("total"), F.count_if(F.col("label") == "yes").alias("yes"))).alias("json"))
 
 
-@query("snk11_annotation_rows")
+@query("snk11_annotation_rows", "SELECT row_number() OVER (ORDER BY ord) AS sample_id, question, answer, label, CASE WHEN length(paragraph) > 500 THEN substr(paragraph, 1, 500) || '...' ELSE paragraph END AS paragraph, '' AS correct, '' AS relevant, '' AS comment FROM clean", ("qa", "clean"))
 def _(t):
     return W.annotation_rows(clean(t))
 
@@ -199,7 +199,7 @@ def _(t):
     return J.run_to_memory(J.sessions(J.stream_table(t.spark, f"{t.sf_dir}/events.parquet"), "2 hours"), f"s_{uuid.uuid4().hex}", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("str03_sliding_windows")
+@query("str03_sliding_windows", "SELECT start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT time_bucket(INTERVAL 6 HOURS, ts) AS start, * FROM events UNION ALL SELECT time_bucket(INTERVAL 6 HOURS, ts) - INTERVAL 6 HOURS, * FROM events) GROUP BY 1, 2")
 def _(t):
     return J.run_to_memory(J.windowed(J.stream_table(t.spark, f"{t.sf_dir}/events.parquet"), "12 hours", "6 hours"), f"l_{uuid.uuid4().hex}", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 

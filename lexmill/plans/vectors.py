@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import vectors as V
 from lexmill.operators import kge as K
-from lexmill.operators.order import bounded_broadcast
 from lexmill.operators.sampling import hash_pick
 
 from .base import CTE, query
@@ -119,16 +118,21 @@ def _(t):
 
 @query("n06_top_similar", "SELECT qid, id, similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS place FROM (SELECT q.id AS qid, l.id AS id, round(list_dot_product(q.v, l.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(l.v, l.v))), 6) AS similarity FROM vec q, lib l)) WHERE place <= 3", ("vec", "lib"))
 def _(t):
-    return K.nearest(vec(t).select(F.col("id").alias("qid"), F.col("v").alias("q")), bounded_broadcast(library(t)), 3).withColumn("place", F.col("place").cast("bigint"))
+    return K.nearest(vec(t).select(F.col("id").alias("qid"), F.col("v").alias("q")), library(t), 3, small_library=True).withColumn("place", F.col("place").cast("bigint"))
 
 
 @query("j09_paragraph_knn", "SELECT qid, id, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS place FROM (SELECT q.id AS qid, l.id AS id, round(list_dot_product(q.v, l.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(l.v, l.v))), 6) AS similarity FROM lib q, vec l)) WHERE place <= 5", ("vec", "lib"))
 def _(t):
     queries = library(t).select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    return K.nearest(bounded_broadcast(queries), vec(t).select("id", "v"), 5).select("qid", "id", F.col("place").cast("bigint").alias("place"))
+    return K.nearest(queries, vec(t).select("id", "v"), 5).select("qid", "id", F.col("place").cast("bigint").alias("place"))
 
 
-@query("j08_negative_sampling")
+@query(
+    "j08_negative_sampling",
+    """WITH pool AS (SELECT label AS candidate, row_number() OVER (ORDER BY label) - 1 AS slot, count(*) OVER () AS n FROM (SELECT DISTINCT label FROM embeddings)),
+    placed AS (SELECT vec_id AS id, e.label, ('0x' || substr(md5('42|' || vec_id), 1, 8))::BIGINT % (SELECT max(n) FROM pool) AS place FROM embeddings e)
+    SELECT id, label, CASE WHEN a.candidate <> label THEN a.candidate ELSE b.candidate END AS candidate FROM placed JOIN pool a ON a.slot = place JOIN pool b ON b.slot = (place + 1) % b.n""",
+)
 def _(t):
     rows = vec(t).select("id", "label")
     pool = rows.select(F.col("label").alias("candidate")).distinct()
@@ -142,7 +146,46 @@ def _(t):
     ("vec", "lib"),
 )
 def _(t):
-    return K.attention(vec(t).select(F.col("id").alias("qid"), F.col("v").alias("q")), bounded_broadcast(library(t)))
+    mixed = K.attention(vec(t).select(F.col("id").alias("qid"), F.col("v").alias("q")), library(t))
+    return mixed.select("qid", F.posexplode("v").alias("dim", "value")).select("qid", "dim", F.round("value", 6).alias("value"))
+
+
+@query("j18_gate", "SELECT id, round(list_sum(list_transform(list_zip(h, r, t), lambda z: 1 / (1 + exp(-z[1])) * z[3] + (1 - 1 / (1 + exp(-z[1]))) * z[2])), 6) AS total FROM trip", ("vec", "trip"))
+def _(t):
+    # The gate's weights are a model's; here its logits are a vector of the table.
+    gate = F.transform("h", lambda x: 1 / (1 + F.exp(-x)))
+    return triples(t).select("id", F.round(V.total(K.gated(F.col("r"), F.col("t"), gate)), 6).alias("total"))
+
+
+@query("n07_norm_clamp", "SELECT id, round(list_sum(list_transform(w, lambda x: x / greatest(1, sqrt(list_dot_product(w, w))))), 6) AS total, round(least(1, sqrt(list_dot_product(w, w))), 6) AS length FROM (SELECT id, list_transform(v, lambda x: greatest(-1, least(1, x * (1 + id % 3)))) AS w FROM vec)", ("vec",))
+def _(t):
+    grown = F.transform("v", lambda x: x * (1 + F.col("id") % 3))
+    rows = vec(t).select("id", V.clamped(grown).alias("w"))
+    return rows.select("id", F.round(V.total(F.col("w")), 6).alias("total"), F.round(V.norm(F.col("w")), 6).alias("length"))
+
+
+@query("a32_regularizer", "SELECT round(0.001 * sum(list_dot_product(v, v)) / count(*), 9) AS loss FROM vec", ("vec",))
+def _(t):
+    return K.l2_regularizer(vec(t).filter("id % 5 <> 0"), vec(t).filter("id % 5 = 0"), 0.001)
+
+
+_SC = "scores AS (SELECT id // 128 AS batch, sqrt(list_sum(list_transform(list_zip(h, r, t), lambda z: (z[1] + z[2] - z[3]) ** 2))) AS p, (sqrt(list_sum(list_transform(list_zip(t, r, t), lambda z: (z[1] + z[2] - z[3]) ** 2))) + sqrt(list_sum(list_transform(list_zip(h, r, h), lambda z: (z[1] + z[2] - z[3]) ** 2)))) / 2 AS n FROM trip)"
+CTE["scores"] = _SC
+
+
+def _scores(t):
+    c = F.col
+    return triples(t).select(F.floor(c("id") / 128).alias("batch"), V.trans_e(c("h"), c("r"), c("t")).alias("positive"), V.trans_e(c("t"), c("r"), c("t")).alias("negative_head"), V.trans_e(c("h"), c("r"), c("h")).alias("negative_tail"))
+
+
+@query("a32_validation_loss", "SELECT round(avg(loss), 6) AS val_loss FROM (SELECT batch, avg(greatest(0, p - n + 1)) AS loss FROM scores GROUP BY batch)", ("vec", "trip", "scores"))
+def _(t):
+    return K.validation_loss(_scores(t), "batch")
+
+
+@query("a32_batch_metrics", "SELECT round(sum(1.0 / rank) / sum(n), 9) AS mrr, round(CAST(count(*) FILTER (rank <= 10) AS DOUBLE) / sum(n), 9) AS hits10 FROM (SELECT batch, count(*) FILTER (p < n) + 1 AS rank, count(*) AS n FROM scores GROUP BY batch)", ("vec", "trip", "scores"))
+def _(t):
+    return K.batch_ranks(_scores(t), "batch")
 
 
 @query("j19_similar_pairs", "SELECT id, CASE WHEN list_dot_product(h, r) / (sqrt(list_dot_product(h, h)) * sqrt(list_dot_product(r, r))) > 0.1 THEN 'yes' ELSE 'no' END AS same FROM trip", ("vec", "trip"))

@@ -78,16 +78,16 @@ def test_bit_vectors_equal_tables():
 def test_validator_reads_whole_answers(run):
     opening = "The driver must stop at the line before the sign. "
     texts = [f"Where does a driver stop?\n{opening * 8}{end}" for end in ("", opening * 4, "xxx")]
-    assert [r["reject_reason"] for r in sorted(run("f02_whole_answers", texts), key=lambda r: r["ord"])][1:] == ["answer too long", "placeholder"]
+    assert [r["reject_reason"] for r in sorted(run("f02_six_stage_validator", texts), key=lambda r: r["ord"])][1:] == ["answer too long", "placeholder"]
 
 
 def test_whole_html_is_quoted(spark, run):
     pages = spark.createDataFrame([(1, "http://a.example", "x" * 90 + '<a href="b">')], "page_id bigint, url string, html string")
-    assert run("s29_whole_html", ["one"], pages=pages)[0]["quoted"] == '"' + "x" * 90 + '<a href=\\"b\\">"'
+    assert run("s29_dot_quote", ["one"], pages=pages)[0]["quoted"] == '"' + "x" * 90 + '<a href=\\"b\\">"'
 
 
 def test_segments_of_the_reference_sizes(run):
     lines = [f"line {i} has five words" for i in range(12)]
-    got = run("g02_padded_documents", ["\n".join(lines)])[0]
+    got = run("g02_padded_segments", ["\n".join(lines)])[0]
     assert (got["segments"], got["width"], got["mask_sum"]) == (64, 128, 60) and got["id_sum"] == sum(len(w) for s in lines for w in s.split())
-    assert run("f13_ten_segments", ["\n".join(lines)])[0]["segments"] == "|".join(lines[:10])
+    assert run("f13_segments", ["\n".join(lines)])[0]["segments"] == "|".join(lines[:10])
