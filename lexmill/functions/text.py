@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexmill.functions import prompts
+
 L = F.lit
 
 
@@ -69,6 +71,13 @@ def tagged_config(name: Column) -> Column:
     return F.struct(number("(?:clm|mlm)").alias("clm"), number("clu").alias("clu"), number("cls").alias("cls"))
 
 
+def sliced_config(name: Column) -> Column:
+    """The dialect that cuts a name between its marks: `_clm_nsp_a_clu_b_cls_c`."""
+    between = lambda left, right: F.substring_index(F.substring_index(name, left, -1), right, 1).try_cast("double")
+    marks = (("clm", "_clm_nsp_", "_clu_"), ("clu", "_clu_", "_cls_"), ("cls", "_cls_", "_"))
+    return F.struct(*[F.when(F.contains(name, L(left)), between(left, right)).alias(k) for k, left, right in marks])
+
+
 #: What a name contains and the group it then belongs to; the first that holds counts.
 BASE_GROUPS = (
     ("eurlex", "EURLEX"),
@@ -157,29 +166,29 @@ def prompt_parts(text: str) -> list[str]:
     return [p for p in re.split(r"(\{[qad]\})", text) if p]
 
 
+#: Fixed value: the prompt for questions without options, around the question.
+DIRECT = ("For the question: '", "', please provide a numeric answer or a mathematical expression or sign names, as required.")
+
+
 def direct_prompt(version: Column, question: Column) -> Column:
-    text = F.concat(L("For the question: '"), question, L("', please provide a numeric answer or a mathematical expression or sign names, as required."))
-    return F.when(version == 1, text).otherwise("")
+    """The prompt of version 1; other versions have none."""
+    return F.when(version == 1, F.concat(L(DIRECT[0]), question, L(DIRECT[1]))).otherwise("")
 
 
-def instruction_prompt(sentence: Column, paragraph: Column, pairs: Column, domain: Column, language: Column, templates: dict[tuple[str, str], str]) -> Column:
-    """An instruction from templates by (domain, language): half of the pairs positive, the odd one too; other languages are English.
+def instruction_prompt(sentence: Column, paragraph: Column, pairs: Column, domain: Column, language: Column, templates: dict[tuple[str, str], str] | None = None) -> Column:
+    """An instruction from templates by (domain, language): half of the pairs positive, the odd one too.
 
-    A template may hold {sentence}, {paragraph}, {pairs}, {positive} and {negative}.
+    Languages other than `de` get the English one, unknown domains and null that of traffic law. A template may hold {sentence}, {paragraph},
+    {pairs}, {positive} and {negative}; the published ones are the default.
     """
+    templates = prompts.templates() if templates is None else templates
     values = {"{sentence}": sentence, "{paragraph}": paragraph, "{pairs}": pairs, "{positive}": F.ceil(pairs / 2), "{negative}": F.floor(pairs / 2)}
-
-    def fill(text: str) -> Column:
-        found = L(text)
-        for mark, value in values.items():
-            found = F.replace(found, L(mark), value.cast("string"))
-        return found
-
+    fill = lambda text: F.concat(*[values[p].cast("string") if p in values else L(p) for p in re.split("(" + "|".join(map(re.escape, values)) + ")", text) if p])
     spoken = F.when(language == "de", "de").otherwise("en")
-    chosen = None
+    known = F.when(domain.isin(*sorted({of for of, _ in templates})), domain).otherwise(prompts.DEFAULT_DOMAIN)
+    chosen = F
     for (of, tongue), text in templates.items():
-        hit = (F.coalesce(domain, L("traffic_law")) == of) & (spoken == tongue)
-        chosen = F.when(hit, fill(text)) if chosen is None else chosen.when(hit, fill(text))
+        chosen = chosen.when((known == of) & (spoken == tongue), fill(text))
     return chosen
 
 

@@ -90,3 +90,20 @@ def same_value(reference: Column, generated: Column) -> Column:
         return pd.Series(out, dtype="object")
 
     return compared(reference, generated)
+
+
+def reduced(rows: DataFrame, reducer: Callable, id_column: str = "id", vector: str = "v") -> DataFrame:
+    """(id, x, y): vectors brought to two dimensions by a reducer from outside, a function of a matrix that returns one of two columns.
+
+    Reducers such as t-SNE place all points at once, so a stated set of points goes to one call, here to one for each task of the plan;
+    callers of such reducers hand over one partition.
+    """
+    import numpy as np
+
+    def each(batches):
+        for frame in batches:
+            places = np.asarray(reducer(np.stack(frame[vector].to_list()).astype(float))) if len(frame) else np.empty((0, 2))
+            yield frame[[id_column]].assign(x=places[:, 0], y=places[:, 1])
+
+    kind = rows.schema[id_column].dataType.simpleString()
+    return rows.select(id_column, vector).mapInPandas(each, f"{id_column} {kind}, x double, y double")

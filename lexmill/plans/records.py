@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexmill.functions import prompts as P
 from lexmill.functions import quality as Q
 from lexmill.functions import text as X
 from lexmill.operators import qa as QA
@@ -257,10 +258,44 @@ def _(t):
     return clean(t).select("ord", X.qa_text(F.col("question"), F.col("answer")).alias("text"))
 
 
-@query("s20_instruction_prompt", "SELECT ord, CASE WHEN language = 'de' THEN 'Erstelle ' || 3 || ' Paare (' || 2 || ' ja, ' || 1 || ' nein) zu: ' || sentence ELSE 'Write ' || 3 || ' pairs (' || 2 || ' yes, ' || 1 || ' no) on: ' || sentence END AS prompt FROM clean", ("qa", "clean"))
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TEMPLATE = lambda key: "replace(replace(" + _quoted(P.templates()[key].replace("{pairs}", "3").replace("{positive}", "2").replace("{negative}", "1")) + ", '{sentence}', sentence), '{paragraph}', paragraph)"
+_DOMAIN = "CASE ord % 4 WHEN 0 THEN 'traffic_law' WHEN 1 THEN 'regulatory' WHEN 2 THEN 'contract' ELSE 'maritime' END"
+
+
+@query(
+    "s20_instruction_prompt",
+    "SELECT ord, CASE "
+    + " ".join(f"WHEN domain {'IN' if d == 'traffic_law' else '='} {chr(40) + _quoted(d) + ', ' + _quoted('maritime') + chr(41) if d == 'traffic_law' else _quoted(d)} AND (language = 'de') = {str(g == 'de').lower()} THEN {_TEMPLATE((d, g))}" for d, g in P.CONTEXTS)
+    + f" END AS prompt FROM (SELECT ord, {_DOMAIN} AS domain, language, replace(sentence, '{{', '(') AS sentence, replace(paragraph, '{{', '(') AS paragraph FROM clean)",
+    ("qa", "clean"),
+)
 def _(t):
-    templates = {("traffic_law", "de"): "Erstelle {pairs} Paare ({positive} ja, {negative} nein) zu: {sentence}", ("traffic_law", "en"): "Write {pairs} pairs ({positive} yes, {negative} no) on: {sentence}"}
-    return clean(t).select("ord", X.instruction_prompt(F.col("sentence"), F.col("paragraph"), L(3), L(None).cast("string"), F.col("language"), templates).alias("prompt"))
+    # The last domain is not known. Braces go, as the SQL fills one mark after the other.
+    domain = F.element_at(F.array(*[L(x) for x in ("traffic_law", "regulatory", "contract", "maritime")]), (F.col("ord") % 4 + 1).cast("int"))
+    bare = lambda c: F.replace(F.col(c), L("{"), L("("))
+    return clean(t).select("ord", X.instruction_prompt(bare("sentence"), bare("paragraph"), L(3), domain, F.col("language")).alias("prompt"))
+
+
+@query("s18_direct_prompt", f"SELECT qid, CASE WHEN qid % 3 = 1 THEN {_quoted(X.DIRECT[0])} || question || {_quoted(X.DIRECT[1])} ELSE '' END AS prompt FROM exam WHERE category = 'direct_answer'", ("exam",))
+def _(t):
+    return exam(t).filter("category = 'direct_answer'").select("qid", X.direct_prompt(F.col("qid") % 3, F.col("question")).alias("prompt"))
+
+
+@query(
+    "s13_four_dialects",
+    """SELECT DISTINCT model_name, clu AS by_place, TRY_CAST(regexp_extract(model_name, '_clu_([0-9.]+)', 1) AS DOUBLE) AS by_mark, clu AS of_checkpoint,
+      CASE WHEN contains(model_name, '_clm_nsp_') THEN TRY_CAST(split_part(split_part(model_name, '_clu_', 2), '_cls_', 1) AS DOUBLE) END AS between FROM parsed""",
+    ("ledger", "parsed"),
+)
+def _(t):
+    name = F.col("model_name")
+    rows = parsed(t).select("model_name", "clu").distinct()
+    saved = X.checkpoint_config(F.concat(name, F.when(F.contains(name, L("_clm_nsp_")), L(".pt")).otherwise(L(""))))
+    return rows.select("model_name", F.col("clu").alias("by_place"), X.tagged_config(name)["clu"].alias("by_mark"), saved["clu"].alias("of_checkpoint"), X.sliced_config(name)["clu"].alias("between"))
 
 
 @query("s22_overlap", f"SELECT ord, round(CAST(len(list_intersect({_WORDS('question')}, {_WORDS('answer')})) AS DOUBLE) / greatest(len(list_distinct(list_concat({_WORDS('question')}, {_WORDS('answer')}))), 1), 9) AS jaccard FROM clean", ("qa", "clean"))

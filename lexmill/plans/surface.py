@@ -10,8 +10,10 @@ from lexmill.operators import metrics as M
 from lexmill.operators import sequences as S
 from lexmill.sources import html as H
 from lexmill.sources import readers as R
+from lexmill.sources import writers as W
+from lexmill.session import landing_folder
 
-from .base import CTE, clean, ledger, predictions, query, vectors
+from .base import CTE, clean, exam, ledger, predictions, query, vectors
 from .measures import _C, _COUNTS
 
 L = F.lit
@@ -35,19 +37,38 @@ def _(t):
 
 @query("src20_model_folders", "SELECT DISTINCT 'm' || s_nationkey AS model FROM supplier WHERE s_suppkey % 3 = 0")
 def _(t):
-    path = F.concat(L("models/m"), F.col("s_nationkey").cast("string"), F.when(F.col("s_suppkey") % 3 == 0, "/config.json").otherwise("/weights.bin"))
-    files = t.supplier.select(path.alias("path")).filter(F.endswith("path", L("/config.json")))
-    return files.select(F.element_at(F.split("path", "/"), -2).alias("model")).distinct()
+    # Folders of models; those without a config.json are none.
+    rows = t.supplier.select(F.concat(L("m"), F.col("s_nationkey").cast("string")).alias("model"), F.when(F.col("s_suppkey") % 3 == 0, "config.json").otherwise("weights.bin").alias("file")).distinct()
+    path = landing_folder(t.spark, "models")
+    rows.withColumn("value", L("{}")).write.partitionBy("model", "file").text(path)
+    return R.model_folders(t.spark, path, "config.json")
 
 
-@query("snk10_report_lines", "SELECT '- **' || label || '**: ' || count(*) AS line FROM clean GROUP BY label", ("qa", "clean"))
+@query("src21_images", "SELECT 'http://example.org/' || image AS url, 'image of ' || image AS body FROM exam WHERE image IS NOT NULL", ("exam",))
 def _(t):
-    return clean(t).groupBy("label").agg(F.count("*").alias("n")).select(F.concat(L("- **"), "label", L("**: "), F.col("n").cast("string")).alias("line"))
+    # The fetcher stands outside; here it answers with a text.
+    urls = exam(t).filter("image IS NOT NULL").select(F.concat(L("http://example.org/"), "image").alias("url"))
+    return B.memoised_apply(urls, "url", lambda found: ["image of " + u.rsplit("/", 1)[1] for u in found], "body")
+
+
+@query("n16_reduced", "SELECT id, round(v[1] + v[2], 6) AS x, round(v[3] - v[4], 6) AS y FROM vec", ("vec",))
+def _(t):
+    # t-SNE and UMAP stand outside; here a projection of four coordinates takes their place.
+    return B.reduced(vectors(t), lambda m: m[:, [0, 2]] + m[:, [1, 3]] * [1, -1]).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("snk10_report_lines", "SELECT '- **' || label || '**: ' || count(*) AS line FROM clean GROUP BY label UNION ALL SELECT '# Labels' UNION ALL SELECT ''", ("qa", "clean"))
+def _(t):
+    path = landing_folder(t.spark, "report")
+    W.write_report("Labels", clean(t).groupBy("label").agg(F.count("*").alias("n")), "label", "n", path)
+    return t.spark.read.text(path).select(F.col("value").alias("line"))
 
 
 @query("snk13_embedding_table", "SELECT id, len(v) AS width, round(list_sum(v), 6) AS total FROM vec", ("vec",))
 def _(t):
-    return vectors(t).select("id", F.size("v").cast("bigint").alias("width"), F.round(F.aggregate("v", L(0.0), lambda a, x: a + x), 6).alias("total"))
+    path = landing_folder(t.spark, "vectors")
+    W.write_embeddings(vectors(t), path)
+    return t.spark.read.parquet(path).select("id", F.size("v").cast("bigint").alias("width"), F.round(F.aggregate("v", L(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query("snk14_plot_data", "SELECT setting, round(avg(f1_macro), 6) AS height, round(stddev_samp(f1_macro), 6) AS bar FROM ledger GROUP BY setting", ("ledger",))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +51,8 @@ def austrian_questions(rows: DataFrame, language: str = "de", skip_images: bool
     )
 
 
-def read_austrian(spark: SparkSession, folder: str, **how) -> DataFrame:
-    return austrian_questions(spark.read.schema(EXAM_AT).json(f"{folder}/*.json", multiLine=True), **how)
+def read_austrian(spark: SparkSession, folder: str, files: str = "*.json", **how) -> DataFrame:
+    return austrian_questions(spark.read.schema(EXAM_AT).option("pathGlobFilter", files).json(folder, multiLine=True), **how)
 
 
 def read_jsonl_strict(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
@@ -127,28 +129,48 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return embedding_rows(spark.read.text(path, wholetext=True))
 
 
-def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True)
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """All batches of a ledger, columns by name, types inferred; a batch that lacks a column has nulls. A path without batches is an error.
+
+    Batches are experiments that people append, so there are few; the driver lists their folders.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().toString() for s in files.listStatus(hadoop.Path(path)) if s.getPath().getName().startswith("batch="))
+    found = [spark.read.csv(name, header=True, inferSchema=True) for name in names]
+    if not found:
+        raise ValueError(f"no batches in {path}")
+    rows = found[0]
+    for batch in found[1:]:
+        rows = rows.unionByName(batch, allowMissingColumns=True)
+    return rows
 
 
 def read_run_metadata(spark: SparkSession, pattern: str) -> DataFrame:
     """metadata.json files with the model folder they lie in; missing files are no error, they just give no rows."""
-    schema = "num_entities bigint, num_relations bigint, embedding_dim bigint, train_loss double, val_loss double"
-    files = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).json(pattern)
-    return files.withColumn("model", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)).drop("_corrupt_record")
+    schema = "num_entities bigint, num_relations bigint, embedding_dim bigint, losses struct<train:double,val:double>"
+    files = spark.read.schema(schema).option("multiLine", True).json(pattern)
+    losses = [F.col(f"losses.{k}").alias(f"{k}_loss") for k in ("train", "val")]
+    return files.select("num_entities", "num_relations", "embedding_dim", *losses, _folder(-2).alias("model"))
+
+
+def _folder(place: int) -> Column:
+    """A part of the path of the file that a row comes from; of a partition's folder the value."""
+    return F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), place), "^[A-Za-z_]+=", "")
 
 
 def read_seed_results(spark: SparkSession, pattern: str) -> DataFrame:
     """`model/seed_n/all_results.json` files with model and seed from the path."""
     files = spark.read.schema("eval_macro double, eval_micro double, test_macro double, test_micro double").option("multiLine", True).json(pattern)
-    path = F.split(F.col("_metadata.file_path"), "/")
-    return files.select("*", F.element_at(path, -3).alias("model"), F.regexp_extract(F.element_at(path, -2), r"seed_(\d+)", 1).cast("int").alias("seed"))
+    return files.select("eval_macro", "eval_micro", "test_macro", "test_micro", _folder(-3).alias("model"), F.regexp_extract(_folder(-2), r"seed_(\d+)", 1).cast("int").alias("seed"))
 
 
-def model_folders(spark: SparkSession, root: str) -> DataFrame:
-    """Folders under root that hold a config.json."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "config.json").option("recursiveFileLookup", True).load(root)
-    return files.select(F.element_at(F.split("path", "/"), -2).alias("model")).distinct()
+def model_folders(spark: SparkSession, root: str, marker: str = "config.json") -> DataFrame:
+    """Folders right under root that hold a file (or a partition's folder) of the marker's name. Contents of files are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    below = F.split(F.regexp_replace("path", ".*" + re.escape(root.rstrip("/").rsplit("/", 1)[-1]) + "/", ""), "/")
+    plain = lambda c: F.regexp_replace(c, "^[A-Za-z_]+=", "")
+    return files.filter(F.exists(below, lambda p: plain(p) == marker)).select(plain(below[0]).alias("model")).distinct()
 
 
 def landed_pages(spark: SparkSession, path: str) -> DataFrame:

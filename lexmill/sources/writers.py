@@ -12,8 +12,12 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def append_ledger(new: DataFrame, path: str) -> None:
-    """New rows as further files of a CSV ledger; columns are matched by name when it is read."""
-    new.write.mode("append").option("header", True).csv(path)
+    """New rows as a further batch of a CSV ledger, in a folder of its own; `read_ledger` matches columns by name."""
+    spark = new.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    number = len(files.listStatus(hadoop.Path(path))) if files.exists(hadoop.Path(path)) else 0
+    new.write.option("header", True).csv(f"{path}/batch={number:06d}")
 
 
 def write_lines(df: DataFrame, column: str, path: str, order: list[str] | None = None) -> None:
@@ -46,6 +50,12 @@ def tree_text(rows: DataFrame, group: str, order: str, line: Column) -> DataFram
     return rows.groupBy(group).agg(F.array_join(F.filter(listed, lambda x: (x != "") & ~F.contains(x, F.lit("http"))), " ").alias("text"))
 
 
+def write_report(title: str, rows: DataFrame, name: str, value: str, path: str) -> None:
+    """A report of a small result (a row for each line) as one text file."""
+    text = markdown_report(title, {r[name]: r[value] for r in rows.orderBy(name).collect()})
+    rows.sparkSession.createDataFrame([(line,) for line in text.rstrip("\n").split("\n")], "value string").coalesce(1).write.text(path)
+
+
 def markdown_report(title: str, figures: dict[str, object]) -> str:
     """A report of the figures of a one-row result."""
     return "\n".join([f"# {title}", "", *[f"- **{k}**: {v}" for k, v in figures.items()], ""])

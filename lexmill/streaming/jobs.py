@@ -54,11 +54,31 @@ def for_each_batch(stream: DataFrame, action: Callable[[DataFrame, int], None],
     return stream.writeStream.foreachBatch(action).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """All input through the stream into a table in memory: for small results such as sums by window."""
-    job = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_to_files(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """All input through the stream; what the last micro-batch gives, as Parquet files under path.
+
+    A batch writes its own folder, so a batch that runs again replaces itself. In complete mode the last holds the whole result.
+    """
+    last: list[int] = []
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        last[:] = [number]
+
+    job = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     try:
         job.awaitTermination()
     finally:
         job.stop()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch-{last[0]}") if last else spark.createDataFrame([], stream.schema)
+
+
+def append_once(path: str) -> Callable[[DataFrame, int], None]:
+    """An action for for_each_batch: rows become a folder of the batch's number, so a batch that runs again adds nothing."""
+
+    def act(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").option("header", True).csv(f"{path}/batch={number}")
+
+    return act
+

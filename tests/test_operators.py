@@ -139,10 +139,43 @@ def test_writers(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "o")).columns == ["question"]
     for x in (1, 2):
         W.append_ledger(spark.createDataFrame([(x,)], "f1 int"), str(tmp_path / "l"))
-    assert sorted(r["f1"] for r in spark.read.schema("f1 int").csv(str(tmp_path / "l"), header=True).collect()) == [1, 2]
+    W.append_ledger(spark.createDataFrame([(0.5, 3)], "loss double, f1 int"), str(tmp_path / "l"))
+    assert sorted((r["f1"], r["loss"]) for r in R.read_ledger(spark, str(tmp_path / "l")).collect() if r["loss"] is None) == [(1, None), (2, None)]
+    assert [(r["f1"], r["loss"]) for r in R.read_ledger(spark, str(tmp_path / "l")).filter("loss IS NOT NULL").collect()] == [(3, 0.5)]
     assert "- **total**: 3" in W.markdown_report("r", {"total": 3})
 
 
+def test_a_malformed_line_stops_the_strict_reader(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"question": "q"}\n{"question": "bro\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        R.read_jsonl_strict(spark, str(tmp_path / "a.jsonl")).collect()
+
+
+def test_missing_entries_and_candidates_are_errors(spark):
+    rows, table = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a")], "k int, v string")
+    assert [tuple(r) for r in G.required(rows.filter("k = 1"), table, "k").collect()] == [(1, "a")]
+    with pytest.raises(Exception, match="no entry for 2"):
+        G.required(rows, table, "k").collect()
+    with pytest.raises(Exception, match="no other candidate"):
+        P.hash_pick(rows, spark.createDataFrame([("x",)], "candidate string"), "k", "candidate", F.lit(True), 1).collect()
+
+
+def test_pairs_in_blocks_are_all_pairs(spark):
+    from lexmill.operators.order import pairs
+
+    many, few = spark.range(57).withColumnRenamed("id", "a"), spark.range(23).withColumnRenamed("id", "b")
+    got = sorted(map(tuple, pairs(many, few, 5).collect()))
+    assert got == [(a, b) for a in range(57) for b in range(23)] == sorted(map(tuple, pairs(many, few).select("a", "b").collect()))
+
+
+def test_batches_of_a_stream_are_appended_once(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    act = J.append_once(str(tmp_path / "ledger"))
+    J.for_each_batch(J.stream_table(spark, str(tmp_path / "in")), act, str(tmp_path / "cp")).awaitTermination()
+    act(spark.range(5), 0)  # the batch runs again
+    assert R.read_ledger(spark, str(tmp_path / "ledger")).count() == 5
+
+
 def test_statute_tree(spark):
     html = "<h2>Teil</h2><h3>§ 1 Ziel</h3><div>(1) Erster.</div><div>weiter</div><div>(2) Zweiter.<img src='p/b.png'></div><script>var t='</p>';</script><h3>Anlage 1</h3><div>weg</div>"
     rows = H.statute_rows(H.page_events(spark.createDataFrame([(1, html)], "page_id long, html string"))).orderBy("ord").collect()
