@@ -3,8 +3,8 @@
 Two fingerprints of 64 bits that differ in at most 3 have, if cut into a ring of 4 segments, a segment from which every chain
 of consecutive segments keeps to its proportional budget: 0 differing bits in the first, 1 in the first two, 2 in three
 and 3 in all. So fingerprints meet in buckets of one equal segment; of the other 48 bits the same holds again, so one more
-segment of 12 bits joins the key. Buckets of over CROWD fingerprints are cut by a third and a fourth ring, whose remainder
-of 20 or 21 bits bounds a bucket by itself. In a bucket, chains of growing length prune pairs before the whole distance
+segment of 12 bits joins the key. Buckets of over CROWD fingerprints are cut by a third, a fourth and a fifth ring, whose remainder
+of at most 16 bits bounds a bucket by itself. In a bucket, chains of growing length prune pairs before the whole distance
 is taken, and of the links only those go on that connect what was not connected: a spanning forest, never all pairs.
 Components of these edges are those of all links.
 
@@ -37,7 +37,7 @@ from .components import components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
 #: Segment widths of the rings, from the whole fingerprint down; the first two make the key of every fingerprint.
-RINGS = ((16, 16, 16, 16), (12, 12, 12, 12), (9, 9, 9, 9), (7, 7, 7, 6))
+RINGS = ((16, 16, 16, 16), (12, 12, 12, 12), (9, 9, 9, 9), (7, 7, 7, 6), (6, 5, 5, 5))
 CROWD = 1 << 14
 BLOCK, SMALL = 1024, 48
 #: Of the ring: words in a shingle and the share of shingles that links texts; its words, segments, budget of bits a word and the
@@ -191,7 +191,9 @@ def links(fps: DataFrame) -> DataFrame:
         crowded = checkpoint(rows.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("path"))
         crowds = not crowded.isEmpty()
         calm = rows.join(crowded.hint("merge"), "path", "left_anti") if crowds else rows
-        edges = _bucket_edges(calm, RINGS[depth - 1][1:])
+        # Segments of unequal widths lie otherwise for each start, so there only the whole distance is taken.
+        above = RINGS[depth - 1]
+        edges = _bucket_edges(calm, above[1:] if len(set(above)) == 1 else ())
         found = edges if found is None else found.unionByName(edges)
         if not crowds:
             return found
