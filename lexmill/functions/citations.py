@@ -36,32 +36,39 @@ def _each(start: Column, end: Column, before: str, after: str) -> Column:
     return let(F.struct(start.alias("a"), end.alias("b")), listed)
 
 
-def tag_signs(text: Column) -> Column:
-    """`Zeichen a bis b und c` with every number in a sign tag; a range over decimals is an error."""
-    number = r"\d{1,6}(?:\.\d)?"
-    pattern = rf"(?i)\bZeichen\s+{number}(?:\s*(?:bis|und|oder|,)\s*{number})*"
+# The published patterns of citations.
+SIGN_NUMBER = r"\d{1,6}(?:\.\d)?"
+SIGNS = rf"(?i)\bZeichen\s+{SIGN_NUMBER}(?:\s*(?:bis|und|oder|,)\s*{SIGN_NUMBER})*"
+PARAGRAPH_RANGE = r"§§\s*\d+\s*bis\s*\d+"
+PARAGRAPH = rf"§\s*(\d+{W}*)"
+PARAGRAPH_PAIR = r"§§\s*(\d+)\s*und\s*(\d+)"
+ABSATZ = rf"\bAbsatz\s*\d+{W}*(?:\s*bis\s*\d+{W}*)?"
+ANNEX = r"\bAnlagen?\s+\d+(?:\s*bis\s*\d+)?"
+SECTION = r"\bAbschnitt\s+(\d+)"
+#: What stands between the items of a list of signs; between the ends of a range.
+SIGN_BREAK, SIGN_RANGE = " und | oder |,", " bis "
 
-    def render(match: Column, _: Column) -> Column:
-        listed = F.regexp_replace(match, r"(?i)^Zeichen\s+", "")
-        for word, mark in ((" und ", ", "), (" oder ", ", "), (" bis ", " to ")):
-            listed = F.replace(listed, L(word), L(mark))
 
-        def one(part: Column) -> Column:
-            ends = F.split(part, " to ")
-            span = _each(F.trim(ends[0]).cast("bigint"), F.trim(ends[1]).cast("bigint"), "<sign>", "</sign>")
-            return F.when(F.contains(part, L(" to ")), span).otherwise(F.concat(L("<sign>"), F.trim(part), L("</sign>")))
+def tag_signs(text: Column) -> Column:
+    """A list of signs behind `Zeichen`: each item a number or a range, every number of it in a sign tag. A range over decimals is an error."""
 
-        return F.concat(L("Zeichen "), F.array_join(F.transform(F.split(listed, ","), one), ", "))
+    def item(ends: Column) -> Column:
+        ranged = _each(F.get(ends, L(0)).cast("bigint"), F.get(ends, L(1)).cast("bigint"), "<sign>", "</sign>")
+        return F.when(F.size(ends) == 2, ranged).otherwise(F.concat(L("<sign>"), ends[0], L("</sign>")))
+
+    def render(match: Column, _: Column) -> Column:
+        items = F.split(F.regexp_replace(match, r"(?i)^Zeichen\s+", ""), SIGN_BREAK)
+        numbers = F.transform(items, lambda i: F.transform(F.split(i, SIGN_RANGE), lambda n: F.trim(n)))
+        return F.concat(L("Zeichen "), F.array_join(F.transform(numbers, item), ", "))
 
-    return replace_matches(text, pattern, render)
+    return replace_matches(text, SIGNS, render)
 
 
 def tag_paragraphs(text: Column, current: Column | None = None) -> Column:
     """Paragraphs and sentences: ranges of §§, single §, Absatz with its paragraph, and the rule for `§§ a und b`, in this order."""
     number = lambda m, k: F.regexp_extract_all(m, L(r"\d+"), L(0))[k].cast("bigint")
-    spans = r"§§\s*\d+\s*bis\s*\d+"
-    text = replace_matches(text, spans, lambda m, _: F.concat(L("<par>"), _each(number(m, 0), number(m, 1), "§ ", ""), L("</par>")))
-    text = F.regexp_replace(text, rf"§\s*(\d+{W}*)", "<par>§ $1</par>")
+    text = replace_matches(text, PARAGRAPH_RANGE, lambda m, _: F.concat(L("<par>"), _each(number(m, 0), number(m, 1), "§ ", ""), L("</par>")))
+    text = F.regexp_replace(text, PARAGRAPH, "<par>§ $1</par>")
     current = L(None).cast("string") if current is None else current
 
     def absatz(match: Column, before: Column) -> Column:
@@ -73,15 +80,15 @@ def tag_paragraphs(text: Column, current: Column | None = None) -> Column:
             .otherwise(F.concat(L("<par>"), current, L("</par>"), tagged))
         )
 
-    text = replace_matches(text, rf"\bAbsatz\s*\d+{W}*(?:\s*bis\s*\d+{W}*)?", absatz)
-    return F.regexp_replace(text, r"§§\s*(\d+)\s*und\s*(\d+)", "<par>§ $1</par> und <par>§ $2</par>")
+    text = replace_matches(text, ABSATZ, absatz)
+    return F.regexp_replace(text, PARAGRAPH_PAIR, "<par>§ $1</par> und <par>§ $2</par>")
 
 
 def tag_tables(text: Column) -> Column:
     """Anlage a [bis b] and Abschnitt n."""
     number = lambda m, k: F.get(F.regexp_extract_all(m, L(r"\d+"), L(0)), L(k)).cast("bigint")
-    text = replace_matches(text, r"\bAnlagen?\s+\d+(?:\s*bis\s*\d+)?", lambda m, _: _each(number(m, 0), F.coalesce(number(m, 1), number(m, 0)), "Anlage <tab>", "</tab>"))
-    return F.regexp_replace(text, r"\bAbschnitt\s+(\d+)", "Abschnitt <sec>$1</sec>")
+    text = replace_matches(text, ANNEX, lambda m, _: _each(number(m, 0), F.coalesce(number(m, 1), number(m, 0)), "Anlage <tab>", "</tab>"))
+    return F.regexp_replace(text, SECTION, "Abschnitt <sec>$1</sec>")
 
 
 def tag_all(text: Column, current: Column | None = None) -> Column:

@@ -11,7 +11,8 @@ from lexmill.sources import writers as W
 from lexmill.session import landing_folder
 from lexmill.streaming import jobs as J
 
-from .base import clean, exam, ledger, qa, query, vectors
+from .base import clean, exam, ledger, qa, query
+from .records import REASON
 
 L = F.lit
 
@@ -252,6 +253,38 @@ def _(t):
     return J.run_to_files(J.windowed(J.stream_table(t.spark, f"{t.sf_dir}/events.parquet"), "12 hours", "6 hours"), landing_folder(t.spark, "stream")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+def _arrivals(t) -> str:
+    """Records as they arrive: files of a folder, with the time of arrival."""
+    path = landing_folder(t.spark, "arrivals")
+    qa(t).select("ord", "question", "answer", "label", "paragraph_id", "quality_score", F.timestamp_seconds(F.col("ord") % 60 + 1_700_000_000).alias("ts")).repartition(3).write.parquet(path)
+    return path
+
+
+@query("str04_validated_records", f"SELECT ord, label FROM qa WHERE ({REASON}) IS NULL", ("qa",))
+def _(t):
+    # Two files a micro-batch, then the stream ends; a second run finds nothing new.
+    source, path = _arrivals(t), landing_folder(t.spark, "validated")
+    for _ in range(2):
+        J.append_to(J.accepted(J.stream_table(t.spark, source, 2)), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{path}/rows").select("ord", "label")
+
+
+@query("str05_first_wins", f"SELECT DISTINCT md5(lower(trim(question)) || '|' || lower(trim(answer))) AS qa_hash FROM qa WHERE ({REASON}) IS NULL", ("qa",))
+def _(t):
+    path = landing_folder(t.spark, "first")
+    J.append_to(J.first_wins(J.accepted(J.stream_table(t.spark, _arrivals(t)))), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{path}/rows").select("qa_hash")
+
+
+@query("str06_ledger_batches", "SELECT ord, f1_macro FROM ledger", ("ledger",))
+def _(t):
+    source, path = landing_folder(t.spark, "results"), landing_folder(t.spark, "ledger")
+    ledger(t).select("ord", "f1_macro").repartition(4).write.parquet(source)
+    J.for_each_batch(J.stream_table(t.spark, source, 2), J.append_once(path), f"{path}-checkpoint").awaitTermination()
+    J.append_once(path)(t.spark.read.parquet(source).limit(0), 1_000_000)  # a batch without rows
+    return R.read_ledger(t.spark, path).select(F.col("ord").cast("bigint").alias("ord"), F.col("f1_macro").cast("double").alias("f1_macro"))
+
+
 @query("qa_clean_dedup_stats", "SELECT paragraph_id, label, count(*) AS n, round(avg(quality_score), 6) AS mean_score FROM (SELECT *, row_number() OVER (PARTITION BY qa_hash ORDER BY ord) AS rn FROM clean WHERE length(question) >= 10 AND length(answer) >= 10) WHERE rn = 1 GROUP BY 1, 2", ("qa", "clean"))
 def _(t):
     rows = clean(t).filter((F.length("question") >= 10) & (F.length("answer") >= 10))

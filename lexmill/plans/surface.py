@@ -24,6 +24,19 @@ def _(t):
     return R.landed_pages(t.spark, f"{t.sf_dir}/pages.parquet").select("url", F.length("html").cast("bigint").alias("n"))
 
 
+@query(
+    "src09_fetch_attempts",
+    """SELECT page_id, CASE WHEN page_id % 4 < 3 THEN 200 ELSE 503 END AS status, CASE WHEN page_id % 4 < 3 THEN page_id % 4 + 1 ELSE 3 END AS attempt, page_id % 4 < 3 AS fetched,
+      CASE WHEN page_id % 4 < 3 THEN length(html) END AS n FROM pages""",
+)
+def _(t):
+    # A page fails as often as its number says; the fourth attempt would work, but three are the limit.
+    tries = t.pages.select("page_id", "html", F.explode(F.array(*[L(k) for k in (1, 2, 3, 4)])).alias("attempt")).filter(F.col("attempt") <= F.col("page_id") % 4 + 1)
+    done = F.col("attempt") == F.col("page_id") % 4 + 1
+    attempts = tries.select(F.col("page_id").alias("url"), "attempt", F.when(done, 200).otherwise(503).alias("status"), F.when(done, F.col("html")).alias("html"))
+    return R.fetched_pages(attempts).select(F.col("url").alias("page_id"), "status", "attempt", "fetched", F.length("html").cast("bigint").alias("n"))
+
+
 CTE["stream"] = """stream AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS place, length(w) AS token FROM (
   SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda w: w <> '') AS ws FROM documents)))"""
 

@@ -173,6 +173,15 @@ def model_folders(spark: SparkSession, root: str, marker: str = "config.json") -
     return files.filter(F.exists(below, lambda p: plain(p) == marker)).select(plain(below[0]).alias("model")).distinct()
 
 
+def fetched_pages(attempts: DataFrame, retries: int = 3) -> DataFrame:
+    """Of a crawler's attempts (url, attempt from 1, status, html) a row for each url: the first that worked among so many, or else no html and the last status."""
+    tried = attempts.filter(F.col("attempt") <= retries)
+    good = (F.col("status") >= 200) & (F.col("status") < 300)
+    first = F.min_by(F.struct("status", "html", "attempt"), F.when(good, F.col("attempt")))
+    last = F.max_by(F.struct("status", F.lit(None).cast("string").alias("html"), "attempt"), "attempt")
+    return tried.groupBy("url").agg(F.coalesce(first, last).alias("r")).select("url", "r.status", "r.html", "r.attempt", F.col("r.html").isNotNull().alias("fetched"))
+
+
 def landed_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages that a crawler has stored (url, html): fetching and its retries stand outside the engine."""
     return spark.read.parquet(path).select("url", "html")
