@@ -195,6 +195,19 @@ def test_similar_documents_by_brute_force(spark, monkeypatch, crowd, small, copy
     assert len(texts) - len(set(got)) >= 0.95 * (len(texts) - len(set(want))) > 100
 
 
+def test_fingerprints_of_very_long_texts():
+    draw = random.Random(6)
+    text = " ".join(f"w{draw.randrange(5000)}" for _ in range(150_000))
+    assert near_dedup.fingerprint(text) == slow_fingerprint(text)
+    hashes = near_dedup.shingle_set(text, 5)
+    assert len(hashes) == len(slow_set(text)) and near_dedup.fingerprint(" " * 3_000_000) == 0
+    bits = np.unpackbits(near_dedup.ring(hashes).view(np.uint8), bitorder="little")
+    for word in range(near_dedup.RING):
+        mixed = near_dedup._mixed(hashes + np.uint64((word + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        for bit in (0, 17, 63):
+            assert bits[64 * word + bit] == (2 * int((mixed >> np.uint64(bit) & np.uint64(1)).sum()) > len(hashes))
+
+
 def test_links_of_dense_and_chained_fingerprints(spark):
     draw = random.Random(5)
     values = set()

@@ -1,6 +1,8 @@
 """The pipeline against its stages' brute-force forms, and every stage on odd and empty tables."""
 
+import random
 import re
+import string
 from collections import defaultdict
 
 import corpus_pipeline
@@ -39,3 +41,18 @@ def test_stages_on_odd_and_empty_tables(spark, docs, empty, sf_dir):
             out = stage(spark, table, sf_dir)
             assert out.columns == table.columns and out.count() <= table.count()
         assert corpus_pipeline.STAGES[-1][1](spark, table, sf_dir).count() >= table.count()
+
+
+def test_very_long_texts(spark, docs, tmp_path):
+    """Long white space, a long run of key characters, a long text and its near copy."""
+    words = [f"w{i % 700}x{i // 700}" for i in range(120_000)]
+    rows = [
+        (100, " " * 1_000_000 + "the end", "en", "s", 1), (101, "a " + "".join(random.Random(1).choices(string.ascii_letters + string.digits, k=1_200_000)), "en", "s", 1), (102, " ".join(words), "en", "s", 1), (103, " ".join(words[:-900]) + " other end", "en", "s", 1),
+    ]
+    table = spark.createDataFrame(rows, docs.select("doc_id", "text", "lang", "source", "n_chars").schema).unionByName(docs.select("doc_id", "text", "lang", "source", "n_chars"))
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r["doc_id"] for r in got}
+    assert {100, 101, 102} <= kept and 103 not in kept
+    tokens = {r["doc_id"]: r["doc_tokens"] for r in got}
+    assert sum(r["length"] for r in got if r["doc_id"] == 102) == tokens[102] > 120_000 and tokens[101] < 100
