@@ -107,6 +107,12 @@ class WordBpe:
         self.safe[left, right] = ok
         return ok
 
+    def _spelled(self, word: str) -> str:
+        """A word's bytes as the file writes them; visible ASCII characters stand for themselves."""
+        if word.isascii() and word.isprintable() and " " not in word:
+            return word
+        return "".join([self.char_of[b] for b in word.encode()])
+
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of distinct words, by one walk over their trie."""
         found: dict[str, list[int]] = {}
@@ -114,20 +120,24 @@ class WordBpe:
         tokens: list[str] = []  # of each prefix on the path, the last token of its encoding
         begins: list[int] = []  # and the depth where that token begins
         stands, safe, fits, longest, end = self.sizes, self.safe, self._fits, self.longest, self.end
-        for word, text in sorted(("".join([self.char_of[b] for b in w.encode()]), w) for w in words):
+        for word, text in sorted((self._spelled(w), w) for w in words):
             n = len(word)
             shared = min(n - 1, len(above)) if above[: n - 1] == word[: len(above)][: n - 1] else len(os.path.commonprefix((above, word[:-1])))
             del tokens[shared:], begins[shared:]
-            for depth in range(shared + 1, n + 1):
-                # The longest tokens that end here first; the one that fits the encoding before it is the only one that does.
+            # Of the tokens that end at a depth the longest come first; the one that fits the encoding before it is the only one that does.
+            for depth in range(shared + 1, n):
                 for begin in range(depth - longest if depth > longest else 0, depth):
-                    token = word[begin:depth] if depth < n else word[begin:] + end
-                    if begin < depth - 1 and token not in stands:
-                        continue
-                    if not begin or (ok := safe.get((tokens[begin - 1], token))) or ok is None and fits(tokens[begin - 1], token):
-                        tokens.append(token)
-                        begins.append(begin)
+                    token = word[begin:depth]
+                    if token in stands and (not begin or (ok := safe.get((tokens[begin - 1], token))) or ok is None and fits(tokens[begin - 1], token)):
                         break
+                tokens.append(token)
+                begins.append(begin)
+            for begin in range(n - longest if n > longest else 0, n):
+                token = word[begin:] + end
+                if token in stands and (not begin or (ok := safe.get((tokens[begin - 1], token))) or ok is None and fits(tokens[begin - 1], token)):
+                    break
+            tokens.append(token)
+            begins.append(begin)
             above = word[:-1]
             ids, at = [], n
             while at:
