@@ -416,7 +416,7 @@ def _(t):
     return rows.select("qid", F.col("opt_ord").cast("bigint").alias("opt_ord"), F.when(F.array_contains("expected", F.col("option")), "yes").otherwise("no").alias("y_true"))
 
 
-@query("x06_pluggable_classifier")
+@query("x06_pluggable_classifier", "SELECT qid, opt_ord, CASE WHEN suffix(model, '1') THEN 'yes' ELSE 'no' END AS label FROM pred", ("pred",))
 def _(t):
     from lexmill.operators.boundary import classify
 

@@ -108,7 +108,11 @@ def _(t):
     return R.read_triples(t.spark, landed(t, t.supplier.select(line.alias("value")), "triples"))
 
 
-@query("src10_statute_tree")
+@query(
+    "src10_statute_tree",
+    """SELECT page_id, o AS ord, 'Teil ' || page_id % 3 AS category, '§ ' || page_id || 'a Titel' AS paragraph, '§ ' || page_id || 'a' AS paragraph_id, sen_id, text
+       FROM pages, (VALUES (2, '1', '(1) Erster Satz. weiter'), (4, '2', '(2) Zweiter. <img>b.png</img>')) v(o, sen_id, text)""",
+)
 def _(t):
     marked = F.concat(L("<h2>Teil "), (F.col("page_id") % 3).cast("string"), L("</h2><h3>§ "), F.col("page_id").cast("string"), L("a Titel</h3><div class='jurAbsatz'>(1) Erster Satz.</div><div class='jurAbsatz'>weiter</div><div class='jurAbsatz'>(2) Zweiter.<img src='x/b.png'></div><h3>Schlussformel</h3><div>weg</div>"))
     return H.statute_rows(H.page_events(t.pages.select("page_id", marked.alias("html"))))
@@ -119,13 +123,21 @@ def _(t):
     return H.page_events(t.pages).filter("tag IN ('h1', 'p')").groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("src11_annex_tree")
+@query(
+    "src11_annex_tree",
+    """SELECT page_id, o AS ord, CAST(page_id AS VARCHAR) AS table_id, 'Abschnitt 1 Gefahr' AS section, '1' AS section_id, sign_number, sign_name, description
+       FROM pages, (VALUES (5, '101', 'Stelle', 'Vorsicht'), (9, '102', NULL, 'Nur Text')) v(o, sign_number, sign_name, description)""",
+)
 def _(t):
     marked = F.concat(L("<h2>Anlage "), F.col("page_id").cast("string"), L("</h2><table><tr><td>Abschnitt 1 Gefahr</td></tr><tr><td>101</td><td>Stelle</td><td>Vorsicht</td></tr><tr><td>102</td><td>Nur Text</td></tr><tr><td></td></tr></table>"))
     return H.annex_rows(H.page_events(t.pages.select("page_id", marked.alias("html"))))
 
 
-@query("src12_html_text")
+@query(
+    "src12_html_text",
+    r"""SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g'), '<[^>]+>', chr(10), 'g'), chr(10)),
+      lambda x: trim(x)), lambda x: x <> '' AND NOT contains(x, 'http')), ' ') AS text FROM pages""",
+)
 def _(t):
     return t.pages.select("page_id", R.html_lines(F.col("html")).alias("text"))
 

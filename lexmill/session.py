@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,10 +53,18 @@ def landing_folder(spark: SparkSession, name: str) -> str:
     return _landed[-1]
 
 
+#: What else is to be done when landed folders go: functions of the session that return a number of things removed.
+_also: list[Callable[[SparkSession], int]] = []
+
+
+def also_drop(action: Callable[[SparkSession], int]) -> None:
+    _also.append(action)
+
+
 def drop_landed(spark: SparkSession) -> int:
-    """Remove what queries have landed in the shared folder, once their results are read. Returns the number of folders."""
+    """Remove what queries have landed in the shared folder, once their results are read. Returns the number of things removed."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    gone = 0
+    gone = sum(action(spark) for action in _also)
     for text in _landed:
         path = hadoop.Path(text)
         gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
