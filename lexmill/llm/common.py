@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import also_drop, shared_folder
+
 #: A group is hot if it holds more than 1/HOT_PARTS of all rows, so there are fewer than HOT_PARTS hot groups.
 HOT_PARTS = 1024
 
@@ -16,25 +17,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary folder if a local session sets none."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="lexmill-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 #: Paths and tables that operators of this process have made for their results.
 _scratch: list[str] = []
 _tables: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    _scratch.append(f"{shared_dir(spark)}/lexmill-{name}-{uuid.uuid4().hex}")
+    _scratch.append(f"{shared_folder(spark)}/lexmill-{name}-{uuid.uuid4().hex}")
     return _scratch[-1]
 
 
@@ -61,6 +50,9 @@ def drop_scratch(spark: SparkSession) -> int:
     return gone
 
 
+also_drop(drop_scratch)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: later plans start from the files, not from df's lineage."""
     spark = df.sparkSession
@@ -71,7 +63,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """df.checkpoint() into the shared folder; Spark removes the files once nothing refers to them."""
-    shared_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
