@@ -34,7 +34,7 @@ def _(t):
     tries = t.pages.select("page_id", "html", F.explode(F.array(*[L(k) for k in (1, 2, 3, 4)])).alias("attempt")).filter(F.col("attempt") <= F.col("page_id") % 4 + 1)
     done = F.col("attempt") == F.col("page_id") % 4 + 1
     attempts = tries.select(F.col("page_id").alias("url"), "attempt", F.when(done, 200).otherwise(503).alias("status"), F.when(done, F.col("html")).alias("html"))
-    return R.fetched_pages(attempts).select(F.col("url").alias("page_id"), "status", "attempt", "fetched", F.length("html").cast("bigint").alias("n"))
+    return R.fetched_pages(attempts).select(F.col("url").alias("page_id"), "status", F.col("attempt").cast("bigint").alias("attempt"), "fetched", F.length("html").cast("bigint").alias("n"))
 
 
 CTE["stream"] = """stream AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS place, length(w) AS token FROM (
