@@ -191,6 +191,8 @@ def test_similar_documents_by_brute_force(spark, monkeypatch, crowd, small, copy
     rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS).repartition(5)
     root = {r["doc_id"]: r["component_id"] for r in near_dedup.similar_documents(rows).collect()}
     got = [root[i] for i in range(len(texts))]
+    again = near_dedup.similar_documents(rows.orderBy(F.desc("text")).coalesce(2))
+    assert {r["doc_id"]: r["component_id"] for r in again.collect()} == root
     assert all(len({want[i] for i in range(len(texts)) if got[i] == c}) == 1 for c in set(got))
     assert len(texts) - len(set(got)) >= 0.95 * (len(texts) - len(set(want))) > 100
 
