@@ -36,8 +36,8 @@ def _each(start: Column, end: Column, before: str, after: str) -> Column:
     return let(F.struct(start.alias("a"), end.alias("b")), listed)
 
 
-# The published patterns of citations.
-SIGN_NUMBER = r"\d{1,6}(?:\.\d)?"
+# The published patterns of citations; only that a sign's number ends at six digits there, which would tear longer ones in two.
+SIGN_NUMBER = r"\d+(?:\.\d)?"
 SIGNS = rf"(?i)\bZeichen\s+{SIGN_NUMBER}(?:\s*(?:bis|und|oder|,)\s*{SIGN_NUMBER})*"
 PARAGRAPH_RANGE = r"§§\s*\d+\s*bis\s*\d+"
 PARAGRAPH = rf"§\s*(\d+{W}*)"

@@ -27,6 +27,10 @@ def test_signs(spark, text, tagged):
     assert value(spark, C.tag_signs(F.lit(text))) == tagged
 
 
+def test_long_sign_numbers_stay_whole(spark):
+    assert value(spark, C.tag_signs(F.lit("Zeichen 1000048 bis 1000049 und 12345678.9"))) == "Zeichen <sign>1000048</sign>, <sign>1000049</sign>, <sign>12345678.9</sign>"
+
+
 def test_a_range_over_decimals_is_an_error(spark):
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         value(spark, C.tag_signs(F.concat(F.lit("Zeichen 1040.1 bis "), (F.col("id") + 1042).cast("string"))))
