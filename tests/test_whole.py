@@ -97,3 +97,15 @@ def test_segments_of_the_reference_sizes(run):
     got = run("g02_padded_segments", ["\n".join(lines)])[0]
     assert (got["segments"], got["width"], got["mask_sum"]) == (64, 128, 60) and got["id_sum"] == sum(len(w) for s in lines for w in s.split())
     assert run("f13_segments", ["\n".join(lines)])[0]["segments"] == "|".join(lines[:10])
+
+
+def test_distinct_parts_carry_no_summaries(spark, sf_dir):
+    # A row for each part must not hold a summary of quantities.
+    plan = QUERIES["a35_approximate_distinct"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile_approx" in plan and not any("percentile_approx" in s for s in plan.split("\n") if "l_partkey" in s.split("functions=")[0] and "Aggregate" in s)
+
+
+def test_distinct_parts_of_a_null_flag(spark, run):
+    rows = [(flag, part, 1.0 + part % 50) for part in range(1500) for flag in ("A", None)] + [("A", None, 20.0)]
+    got = run("a35_approximate_distinct", ["one"], lineitem=spark.createDataFrame(rows, "l_returnflag string, l_partkey bigint, l_quantity double"))
+    assert {tuple(r) for r in got} == {("A", 1500, True, True), (None, 1500, True, True)} and len(got) == 2
