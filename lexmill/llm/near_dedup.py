@@ -16,7 +16,8 @@ are not read; `deduplicate` returns them.
 Texts that share at least 0.8 of their distinct shingles of five words differ in about 10 of 64 bits, which no exact search over
 so few bits reaches. For them (`similar_documents`) the fingerprint is a ring of 8 words of 64 bits over the distinct shingles.
 Texts meet in buckets of one equal segment of 16 of its 512 bits; chains of 1, 2 and 4 words from the bucket's own must
-keep to 13 differing bits a word, then the whole ring to 104. Of the pairs left in a bucket a spanning forest of the least
+keep to 13 differing bits a word, then the whole ring to 104. Buckets of over CROWD texts are dealt to cells of bounded size in
+which every two of them meet whose numbers of shingles allow a link. Of the pairs left in a bucket a spanning forest of the least
 distances goes on, and each of its edges is held against the true share of shingles, so no link is wrong; pairs that
 share no segment are missed (the README gives the measured recall). Texts with equal sets of shingles are one node; those
 without words link to each other only.
@@ -24,6 +25,7 @@ without words link to each other only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +41,8 @@ BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
 #: Segment widths of the rings, from the whole fingerprint down; the first two make the key of every fingerprint.
 RINGS = ((16, 16, 16, 16), (12, 12, 12, 12), (9, 9, 9, 9), (7, 7, 7, 6), (6, 5, 5, 5))
 CROWD = 1 << 14
+#: Rows of a crowded bucket of the ring in a slice; keys of crowded buckets that are broadcast.
+SLICE, BROADCAST_KEYS = 1 << 13, 100_000
 BLOCK, SMALL = 1024, 48
 #: Of the ring: words in a shingle and the share of shingles that links texts; its words, segments, budget of bits a word and the
 #: lengths of the chains that are held to it; the distances that a forest takes first; pairs for which one copy of a set is read.
@@ -346,7 +350,7 @@ def _least_forest(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray, la
 def _near_pairs(key: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of rows sorted by key: edges between rows of one key that are within the budgets, a spanning forest for each key."""
     n = len(key)
-    start = (key >> 18) % RING  # of the segment that made the bucket first
+    start = (key >> 18) % RING  # word of the segment that made the bucket
     labels = np.arange(n)
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.concatenate((first, [n])))
@@ -402,27 +406,56 @@ def _ring_edges(rows: DataFrame) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "node").select("key", "node", *RING_COLUMNS).mapInArrow(edges, "a bigint, b bigint")
+    return rows.select("key", "node", *RING_COLUMNS).repartition("key").sortWithinPartitions("key", "node").mapInArrow(edges, "a bigint, b bigint")
 
 
-def _ring_pairs(nodes: DataFrame) -> DataFrame:
+def _cells(rows: DataFrame, similarity: float) -> DataFrame:
+    """Rows of crowded buckets dealt to cells as their new key, so that every two of a bucket that can be linked share a cell of about 2 * SLICE rows.
+
+    Sets of the similarity differ in size by at most its inverse, so by at most one in its logarithm. Rows of a bucket and class are dealt to slices
+    by a hash of node; each slice meets all slices of its class and of the two beside it.
+    """
+    rows = rows.withColumn("class", F.floor(F.log("n_shingles") / max(-math.log(similarity), 1e-6) + 1e-9))
+    counted = checkpoint(rows.groupBy("key", "class").agg(F.count("*").alias("n"))).withColumn("slices", F.ceil(F.col("n") / SLICE))
+    beside = lambda step, name: counted.select("key", (F.col("class") - step).alias("class"), F.col("slices").alias(name))
+    sizes = counted.join(beside(1, "above").hint("merge"), ["key", "class"], "left").join(beside(-1, "below").hint("merge"), ["key", "class"], "left")
+    group = F.xxhash64("key", "class").alias("group")
+    total = counted.agg(F.sum("n")).first()[0]
+    dealt = lookup(rows.select("*", group), checkpoint(sizes.select(group, "n", "slices", "above", "below")), "group", "n", total)
+    dealt = dealt.withColumn("slice", F.pmod(F.xxhash64("node"), "slices"))
+    own = F.col("slice")
+
+    def each(n: str, cell: Callable[[Column], Column]) -> Column:
+        return F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1), cell)).otherwise(F.array().cast("array<bigint>"))
+
+    within = each("slices", lambda i: F.xxhash64("key", "class", F.lit(0), F.least(own, i), F.greatest(own, i)))
+    above = each("above", lambda i: F.xxhash64("key", "class", F.lit(1), own, i))
+    below = each("below", lambda i: F.xxhash64("key", F.col("class") - 1, F.lit(1), i, own))
+    # As in the keys of buckets, the word of the segment is in the bits from 18 on.
+    word = F.lit(RING - 1 << 18).cast("bigint")
+    return dealt.withColumn("cell", F.explode(F.concat(within, above, below))).withColumn(
+        "key", F.col("cell").bitwiseAND(F.bitwise_not(word)).bitwiseOR(F.col("key").bitwiseAND(word))
+    )
+
+
+def _ring_pairs(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Distinct pairs (a, b) of nodes that pass all filters, enough to connect what all such pairs of a bucket connect."""
-    # A key: the second segment's number and value (zero at first), the segment's number, and its value in the low bits.
+    # A key: the segment's number, and its value in the low bits.
     first = [F.lit(k << 16).cast("bigint").bitwiseOR(_segment(k)) for k in range(SEGMENTS)]
-    rows = nodes.filter("n_shingles > 0").select("node", *RING_COLUMNS)
+    rows = nodes.filter("n_shingles > 0").select("node", "n_shingles", *RING_COLUMNS)
     keyed = rows.withColumn("key", F.explode(F.array(*first)))
     crowded = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("key"))
-    if crowded.isEmpty():
+    n = crowded.count()
+    if not n:
         return _ring_edges(keyed).distinct()
-    calm = _ring_edges(keyed.join(crowded.hint("merge"), "key", "left_anti"))
-    more = [F.when(F.lit(k) != F.shiftright("key", 16), F.col("key").bitwiseOR(F.shiftleft(F.lit((k + 1) << 16).cast("bigint").bitwiseOR(_segment(k)), 24))) for k in range(SEGMENTS)]
-    again = keyed.join(crowded.hint("merge"), "key", "left_semi").withColumn("key", F.explode(F.array_compact(F.array(*more))))
-    return calm.unionByName(_ring_edges(again)).distinct()
+    crowded = F.broadcast(crowded) if n <= BROADCAST_KEYS else crowded.hint("merge")
+    calm = _ring_edges(keyed.join(crowded, "key", "left_anti"))
+    return calm.unionByName(_ring_edges(_cells(keyed.join(crowded, "key", "left_semi"), similarity))).distinct()
 
 
 def _similar(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs of nodes whose sets of shingles are alike enough, by the sets themselves."""
-    pairs = checkpoint(_ring_pairs(nodes))
+    pairs = checkpoint(_ring_pairs(nodes, similarity))
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("uses"))
     # A node of many pairs is given out in copies, each for a bounded number of them.
     copies = ends.withColumn("copies", F.ceil(F.col("uses") / PAIRS_A_COPY).cast("int"))

@@ -197,6 +197,24 @@ def test_similar_documents_by_brute_force(spark, monkeypatch, crowd, small, copy
     assert len(texts) - len(set(got)) >= 0.95 * (len(texts) - len(set(want))) > 100
 
 
+def test_pairs_of_a_crowded_bucket(spark, monkeypatch):
+    """Pairs whose only equal segment is that of a crowded bucket, in sizes of one class, of two beside each other, and at the bounds of classes."""
+    monkeypatch.setattr(near_dedup, "CROWD", 20)
+    monkeypatch.setattr(near_dedup, "SLICE", 5)
+    draw, rows, want = random.Random(4), [], set()
+    for i in range(60):
+        bits = draw.getrandbits(512) >> 16 << 16 | 0xABCD
+        other = bits
+        for k in range(1, 32):
+            other ^= 1 << 16 * k + draw.randrange(16)
+        size = draw.choice((1, 4, 5, 16, 100, 125, 4000))
+        for node, n, ring in ((2 * i, size, bits), (2 * i + 1, draw.choice((size, -(-size * 4 // 5), size * 5 // 4)), other)):
+            rows.append((node, n, *np.frombuffer(ring.to_bytes(64, "little"), "<i8").tolist()))
+        want.add((2 * i, 2 * i + 1))
+    nodes = spark.createDataFrame(rows, "node bigint, n_shingles int, " + ", ".join(f"{c} bigint" for c in near_dedup.RING_COLUMNS))
+    assert {tuple(r) for r in near_dedup._ring_pairs(nodes.repartition(3)).collect()} == want
+
+
 def test_fingerprints_of_very_long_texts():
     draw = random.Random(6)
     text = " ".join(f"w{draw.randrange(5000)}" for _ in range(150_000))
