@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from lexmill.operators import metrics as M
@@ -51,6 +52,38 @@ def test_near_duplicates_equal_plain_comparison(spark):
     assert sorted(r["ord"] for r in got) == [k[0] for k in kept] and 30 <= len(kept) < 60
 
 
+def test_bounds_of_the_ratio_leave_no_pair_out():
+    draw = random.Random(8)
+    near = 0
+    for n in range(600):
+        words = ["".join(draw.choices("etaoinsrhzqx"[: draw.choice((3, 8, 12))], k=draw.randrange(1, 9))) for _ in range(draw.choice((5, 20, 90)))]
+        b = " ".join(words)
+        for _ in range(draw.randrange(len(words) // 3 + 1)):
+            words[draw.randrange(len(words))] = draw.choice(words + ["", "Q", "etaoin zqx"])
+        a = " ".join(words)[draw.choice((0, 0, 1, 7)) :]
+        kept, text, at = QA._Kept(True), QA._Text(a), np.array([0])
+        kept.add(QA._Text(b))
+        for threshold in (0.85, 0.6):
+            want = QA.ratio(a, b) >= threshold
+            passed = len(kept.by_runs(kept.by_counts(kept.by_size(None, text, threshold), text, threshold), text, threshold)) and kept.room(0, text, threshold)
+            assert QA._reaches(text.low, b.lower(), threshold) == want and bool(passed and kept.alike(0, text, threshold)) == want
+            near += want
+    assert 300 < near < 1100
+
+
+def test_far_pairs_are_not_compared(monkeypatch):
+    # Texts of one length and like letters: the bounds settle them without SequenceMatcher.
+    draw = random.Random(2)
+    syllables = ["th", "er", "ou", "ing", "an", "on", "re", "ed", "ly", "st"]
+    texts = [" ".join("".join(draw.choices(syllables, k=draw.randrange(1, 5))) for _ in range(120)) for _ in range(40)]
+    monkeypatch.setattr(QA.difflib, "SequenceMatcher", None)
+    kept = QA._Kept(True)
+    for t in map(QA._Text, texts):
+        at = kept.by_counts(kept.by_size(None, t, 0.85), t, 0.85)
+        assert not any(kept.room(k, t, 0.85) and kept.alike(k, t, 0.85) for k in at.tolist())
+        kept.add(t)
+
+
 def test_similarity_reads_whole_texts(run):
     opening = "The driver must stop.\nSame opening of both."
     texts = [opening, opening + " " + " ".join(f"tail{i}" for i in range(50))]
